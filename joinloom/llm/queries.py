@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, huffman, licenses, packing, token_counts, toxicity
+from . import chat, decontamination, fingerprints, huffman, jaccard, licenses, packing, token_counts, toxicity
 from .shared import crc_of_id, table
 
 
@@ -21,6 +21,22 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.begin)
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+    )
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_neighbours(table(spark, sf_dir, "documents"), k=5, l=2, m=64)
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = huffman.write_ids(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
     return huffman.read_ids(spark, folder)

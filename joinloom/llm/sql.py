@@ -19,7 +19,32 @@ f AS (SELECT doc_id, license, a, 2 * len(list_intersect(a, b)) / (len(a) + len(b
 SELECT doc_id, license, count(DISTINCT list_sort(a)) AS n_units, max(CAST(dice AS DOUBLE)) AS best_dice FROM f WHERE dice >= 0.8 GROUP BY ALL"""
 
 
+#: Words that SQL sees as the operators do: only A-Z become lower case.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MARK_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SPACE_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"
+
 SQL = {
+    "op2_decontamination": f"""
+WITH d AS (SELECT doc_id, {_MARK_WORDS} AS w FROM documents), b AS (SELECT item_id, {_MARK_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 9), ' '))) AS phrase,
+  least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+s AS (SELECT DISTINCT size FROM p),
+g AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM d, s WHERE len(w) >= size),
+m AS (SELECT g.doc_id, g.pos, g.size, p.item_id FROM g JOIN p ON p.size = g.size AND p.phrase = array_to_string(list_slice(g.w, g.pos, g.pos + g.size - 1), ' ')),
+h AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS i FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id""",
+    "op4_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END)) AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, o.b FROM r JOIN o ON o.a = r.other)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = s.doc_id""",
     "op1_license_scan": _licenses(),
     "op7_chat_format": """
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
