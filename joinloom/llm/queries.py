@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, huffman, jaccard, licenses, packing, token_counts, toxicity
+from . import chat, decontamination, fingerprints, huffman, interpolation, jaccard, licenses, packing, token_counts, toxicity
 from .shared import crc_of_id, table
 
 
@@ -42,6 +42,10 @@ def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, folder)
 
 
+def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.range(2).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
