@@ -1,10 +1,69 @@
-"""A corpus pipeline: each stage reads what the one before it kept."""
+"""A corpus pipeline of four stages: toxic documents go, one document of each near-duplicate group stays, documents
+with benchmark passages go, and the rest is packed into windows of tokens.
+
+Each stage is a function of (spark, docs, sf_dir) over all that the stage before kept. All but the last return the columns of
+documents. Rows are told apart by a number of their own, so null and repeated ids are safe: of repeated rows one stays, since
+they are near duplicates; rows without words are no duplicates of anything.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from joinloom.llm import decontamination, jaccard, packing, toxicity
+from joinloom.llm.shared import stored, table
+
+_ROW = "__row"
+#: Row numbers up to which those to drop are broadcast.
+FEW = 500_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    dropped = stored(dropped.select(_ROW), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, _ROW, "left_anti").drop(_ROW)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the factorization machine, trained on the labelled rows of ``docs``, scores 0.5 or more."""
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine, keep=True).where("__score < 0.5").drop("__score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates keeps the row of least doc_id."""
+    docs = _numbered(docs)
+    found = jaccard.similar(docs, id_col=_ROW).select(F.col("doc_id").alias(_ROW), "component_id")
+    found = stored(found.join(docs.select(_ROW, "doc_id"), _ROW), "components")
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", _ROW))[_ROW].alias("stays"))
+    return _without(docs, found.join(stays, "component_id").where(F.col(_ROW) != F.col("stays")))
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a window of a benchmark item."""
+    docs = _numbered(docs)
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), id_col=_ROW)
+    return _without(docs, found.where(F.size("spans") > 0).select(F.col("doc_id").alias(_ROW)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("decontamination", contaminated), ("packing", packed)]
+#: A trained model's decisions are beyond SQL; tests/llm holds the pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
