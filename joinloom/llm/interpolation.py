@@ -49,11 +49,14 @@ def fold_of(id_col: str, left_out: Column) -> Column:
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed byte by byte of the numbers: all lowest bytes first, since the higher ones are mostly zero."""
+    planes = np.ascontiguousarray(x).view("u1").reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
 
 
 def stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -84,7 +87,11 @@ class Batch:
 def build(ids: list, folds: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> dict:
     order = np.argsort(folds, kind="stable")
     begins = np.cumsum(lengths) - lengths
-    words, numbers = np.unique(tokens[stretches(begins[order], lengths[order])], return_inverse=True)
+    words, numbers, often = np.unique(tokens[stretches(begins[order], lengths[order])], return_inverse=True, return_counts=True)
+    ranked = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress well
+    place = np.empty(len(words), np.int64)
+    place[ranked] = np.arange(len(words))
+    words, numbers = words[ranked], place[numbers]
     return {
         "batch": [0],
         "docs": [[ids[i] for i in order.tolist()]],
@@ -151,8 +158,10 @@ def corpus_counts(batches: DataFrame) -> DataFrame:
                     starts = runs(to[order])
                     for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
                         at = order[a:z]
-                        six = (hashes[at] >> U64(16)).astype("<u8").view("u1").reshape(-1, 8)[:, :6]
-                        row = [int(to[at[0]]), r["batch"], pairs, np.ascontiguousarray(six).tobytes(), packed(np.diff(at, prepend=0).astype("<u4")), packed(counts[:, at].astype("<u4"))]
+                        # Highest bits, beside those that the bucket tells: 48 of a word, 40 of a pair.
+                        size = 5 if pairs else 6
+                        short = (hashes[at] >> U64(64 - 8 * size)).astype("<u8").view("u1").reshape(-1, 8)[:, :size]
+                        row = [int(to[at[0]]), r["batch"], pairs, np.ascontiguousarray(short).tobytes(), packed(np.diff(at, prepend=0).astype("<u4")), packed(counts[:, at].astype("<u4"))]
                         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["bucket", "batch", "pairs", "hashes", "places", "counts"])
 
     def tell(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +172,10 @@ def corpus_counts(batches: DataFrame) -> DataFrame:
         schema = pa.schema([("batch", pa.int64()), ("pairs", pa.bool_()), ("places", pa.binary()), ("counts", pa.binary()), *((n, pa.int64()) for n in ("tokens_a", "tokens_t", "words_a", "words_t"))])
         for bucket, pairs in list(own):
             asked = own.pop((bucket, pairs))
-            raw = np.frombuffer(b"".join(x[1] for x in asked), "u1").reshape(-1, 6)
+            size = 5 if pairs else 6
+            raw = np.frombuffer(b"".join(x[1] for x in asked), "u1").reshape(-1, size)
             hashes = np.zeros((len(raw), 8), np.uint8)
-            hashes[:, :6] = raw
+            hashes[:, :size] = raw
             known, which = np.unique(hashes.view("<u8")[:, 0], return_inverse=True)
             local = [unpacked(x[3], "<u4").reshape(2, -1) for x in asked]
             each = np.concatenate(local, axis=1)
