@@ -39,7 +39,7 @@ NOTICES = {
 
 def templates(spark: SparkSession, notices: dict[str, list[str]] | None = None) -> DataFrame:
     """``license, template, template_text``, a row for each notice."""
-    rows = [(k, i, t) for k, texts in (notices or NOTICES).items() for i, t in enumerate(texts)]
+    rows = [(k, i, t) for k, texts in (NOTICES if notices is None else notices).items() for i, t in enumerate(texts)]
     if not rows:
         return spark.sql("SELECT '' AS license, 0L AS template, '' AS template_text WHERE false")
     row = lambda k, i, t: F.struct(F.lit(k).alias("license"), F.lit(i).cast("bigint").alias("template"), F.lit(t).alias("template_text"))
