@@ -103,24 +103,3 @@ def col(operand: int, name: str) -> Expression:
 
 def lit(x: float) -> Expression:
     return Expression("lit", (float(x),))
-
-
-#: Catalyst expressions that raise on no DOUBLE input, so that they may be computed on rows a join drops.
-_SAFE = {
-    "AttributeReference", "Literal", "Alias", "UnaryMinus", "Abs", "Exp", "Tanh", "Signum", "Pow", "Sqrt", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual",
-    "GreaterThan", "GreaterThanOrEqual", "And", "Or", "Not", "IsNull", "IsNotNull", "IsNaN", "In", "InSet", "CaseWhen", "If", "Coalesce", "KnownFloatingPointNormalized", "NormalizeNaNAndZero",
-}
-
-
-def infallible(node: dict, children: list) -> bool:
-    """Whether a Catalyst expression, as a node of its JSON tree and the verdicts on its children, can be moved below a join."""
-    name = node["class"].rsplit(".", 1)[1]
-    if not all(children):
-        return False
-    if name in _SAFE:
-        return True
-    if name in ("Add", "Subtract", "Multiply"):
-        return node.get("dataType", "double") == "double"
-    if name == "Cast":
-        return node.get("dataType") == "double" and node.get("from") in ("float", "integer", "long", "short", "byte", "double")
-    return False

@@ -85,17 +85,19 @@ def weighted(weight: Weight, s: Column, kept: Sequence[str]) -> Column:
 
 def lower_pipeline(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value: str = "v") -> DataFrame:
     """Scores, weights, their normalizer and the weighted sum, each as a relation."""
-    pairs = lower(p.producer, frames, "s")
-    weights = pairs.select(*p.producer.outputs, weighted(p.weight, F.col("s"), p.kept).alias("w"))
+    # Own columns have names that no dimension has.
+    pairs = lower(p.producer, frames, "__s")
+    weights = pairs.select(*p.producer.outputs, weighted(p.weight, F.col("__s"), p.kept).alias("__w"))
     own = [d for d in p.values.keys if d not in p.producer.outputs]
-    right = values.select(*(F.col(c).alias(f"v_{d}") for d, c in p.values.keys.items()), F.col(p.values.factor).cast("double").alias("y"))
+    right = values.select(*(F.col(c).alias(f"__v_{d}") for d, c in p.values.keys.items()), F.col(p.values.factor).cast("double").alias("__y"))
     shared = [d for d in p.values.keys if d in p.producer.outputs]
-    rows = weights.join(right, reduce(operator.and_, (F.col(d) == F.col(f"v_{d}") for d in shared)))
-    groups = [*p.kept, *(F.col(f"v_{d}").alias(d) for d in own)]
+    rows = weights.join(right, reduce(operator.and_, (F.col(d) == F.col(f"__v_{d}") for d in shared)))
+    groups = [*p.kept, *(F.col(f"__v_{d}").alias(d) for d in own)]
+    product = F.sum(F.col("__w") * F.col("__y")).alias("__a")
     if p.normalizer == "rows":
-        return rows.groupBy(*groups).agg(F.sum(F.col("w") * F.col("y")).alias("a"), F.sum("w").alias("z")).select(*p.kept, *own, ieee_divide(F.col("a"), F.col("z")).alias(value))
-    sums = rows.groupBy(*groups).agg(F.sum(F.col("w") * F.col("y")).alias("a"))
+        return rows.groupBy(*groups).agg(product, F.sum("__w").alias("__z")).select(*p.kept, *own, ieee_divide(F.col("__a"), F.col("__z")).alias(value))
+    sums = rows.groupBy(*groups).agg(product)
     if p.normalizer is None:
-        return sums.withColumnRenamed("a", value)
-    norm = weights.groupBy(*p.kept).agg(F.sum("w").alias("z"))
-    return sums.join(norm, [*p.kept]).select(*p.kept, *own, ieee_divide(F.col("a"), F.col("z")).alias(value))
+        return sums.withColumnRenamed("__a", value)
+    norm = weights.groupBy(*p.kept).agg(F.sum("__w").alias("__z"))
+    return sums.join(norm, [*p.kept]).select(*p.kept, *own, ieee_divide(F.col("__a"), F.col("__z")).alias(value))
