@@ -218,10 +218,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
             for a, z in _slices(b.column("n_tokens").to_pylist()):
                 part = b.slice(a, z - a)
                 pairs = coder.encode(arrays(part))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("n_tokens"), pa.array([c for c, _ in pairs], pa.binary()), pa.array([p for _, p in pairs], pa.binary())],
-                    names=["doc_id", "n_tokens", "checkpoints", "payload"],
-                )
+                columns = [part.column("doc_id"), part.column("n_tokens"), pa.array([c for c, _ in pairs], pa.binary()), pa.array([p for _, p in pairs], pa.binary()), part.column("row")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "checkpoints", "payload", "row"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
@@ -235,20 +233,10 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str | None = None
     parts = width(docs)
     bounds = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     # The number of bounds at or below the id: documents of one id meet in one part, ids ascend from part to part.
-    low, high = F.array(*(F.lit(int(b)) for b in bounds)) if bounds else None, F.col("doc_id")
-    part = F.coalesce(F.size(F.filter(low, lambda b: b <= high)), F.lit(0)) if bounds else F.lit(0)
-    out = ids.withColumn("row", F.monotonically_increasing_id())
-    rows = out.select("doc_id", "n_tokens", "ids", "row")
-
-    def coded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = 0
-            for c in coded(iter([b])):
-                yield pa.RecordBatch.from_arrays([*c.columns, b.column("row").slice(at, c.num_rows)], names=[*c.schema.names, "row"])
-                at += c.num_rows
-
-    out = rows.mapInArrow(coded_rows, "doc_id bigint, n_tokens bigint, checkpoints binary, payload binary, row bigint")
-    out = out.repartitionById(len(bounds) + 1, part.cast("int")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "row").drop("row")
+    below = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b <= F.coalesce("doc_id", F.lit(-(1 << 63))))) if bounds else F.lit(0)
+    rows = ids.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "n_tokens", "ids", "row")
+    out = rows.mapInArrow(coded, "doc_id bigint, n_tokens bigint, checkpoints binary, payload binary, row bigint")
+    out = out.repartitionById(len(bounds) + 1, below.cast("int")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "row").drop("row")
     out.mapInArrow(placed, "doc_id bigint, part bigint, start bigint, n_tokens bigint, checkpoints binary, payload binary").write.parquet(f"{folder}/data")
     forget(ids)
     used = np.flatnonzero(lengths)
