@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,26 +48,20 @@ def shape_of(p: Pipeline) -> Shape | None:
     return Shape(batch, min(kept), min(summed), min(feature) if feature else None, min(own))
 
 
-def _complete(df: DataFrame, keys: dict[str, str], inner: str | None, values: Sequence[str]) -> tuple[int, int, int] | None:
-    """If keys are integers from 0 on, each row key has every inner key once, and values are finite and moderate: rows, largest inner key, and
-    largest of the row keys."""
+def _extent(df: DataFrame, keys: dict[str, str], inner: str | None, values: Sequence[str]) -> int | None:
+    """The number of inner keys, if all keys are integers from 0 on, values are finite and moderate, and rows are a multiple of that
+    number: one aggregate without a shuffle."""
     types = dict(df.dtypes)
     if any(types[c] not in _INTEGERS for c in keys.values()) or any(types[c] != "double" for c in values):
         return None
-    columns = [F.col(c) for c in keys.values()]
-    outer = [F.col(c) for d, c in keys.items() if d != inner]
-    good = [F.count_if(~F.coalesce(F.abs(F.col(c)) <= LARGEST, F.lit(False))).alias(f"bad_{c}") for c in values]
-    good += [F.count_if(~F.coalesce(c >= 0, F.lit(False))).alias(f"low_{i}") for i, c in enumerate(columns)]
-    top = F.max(F.col(keys[inner])).alias("top") if inner else F.lit(0).alias("top")
-    r = df.agg(F.count("*").alias("n"), F.count_distinct(*columns).alias("rows"), F.count_distinct(*outer).alias("outer"), top, *good).first().asDict()
-    n, rows, outer_n, top = r["n"], r["rows"], r["outer"], r["top"]
-    if not n or rows != n or n != outer_n * (top + 1) or any(v for k, v in r.items() if k[:4] in ("bad_", "low_")):
-        return None
-    return n, top + 1, outer_n
+    bad = [F.count_if(~F.coalesce(F.abs(F.col(c)) <= LARGEST, F.lit(False))) for c in values] + [F.count_if(~F.coalesce(F.col(c) >= 0, F.lit(False))) for c in keys.values()]
+    n, top, *wrong = df.agg(F.count("*"), F.max(F.col(keys[inner])) if inner else F.lit(0), *bad).first()
+    return top + 1 if n and not any(wrong) and n % (top + 1) == 0 else None
 
 
 def _packed(df: DataFrame, batch: list[str], row: str, inner: str | None, values: list[str], block: int, size: int) -> DataFrame:
-    """Tiles: batch keys b<i>, block, ids of rows in order, and a matrix of size columns for each value."""
+    """Tiles: batch keys b<i>, block, ids of rows in order, and a matrix of size columns for each value; no ids and no matrix where a
+    row lacks or repeats an inner key."""
     rows = df.select(*(F.col(c).cast("bigint").alias(f"b{i}") for i, c in enumerate(batch)), F.col(row).cast("bigint").alias("id"), (F.col(inner) if inner else F.lit(0)).cast("bigint").alias("at"), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))
     rows = rows.withColumn("block", F.floor(F.col("id") / block))
     keys = [*(f"b{i}" for i in range(len(batch))), "block"]
@@ -74,10 +69,14 @@ def _packed(df: DataFrame, batch: list[str], row: str, inner: str | None, values
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         ids, which = np.unique(t["id"].to_numpy(), return_inverse=True)
-        tile = np.zeros((len(values), len(ids), size))
-        for i in range(len(values)):
-            tile[i, which, t["at"].to_numpy()] = t[f"v{i}"].to_numpy()
-        return pa.table({**{k: [v.as_py()] for k, v in zip(keys, key, strict=True)}, "ids": [ids.astype("<i8").tobytes()], "tile": [tile.tobytes()]}, schema=schema)
+        out = {"ids": [b""], "tile": [b""]}
+        cells = which * size + t["at"].to_numpy()
+        if len(t) == len(ids) * size and len(np.unique(cells)) == len(t):
+            tile = np.zeros((len(values), len(t)))
+            for i in range(len(values)):
+                tile[i, cells] = t[f"v{i}"].to_numpy()
+            out = {"ids": [ids.astype("<i8").tobytes()], "tile": [tile.tobytes()]}
+        return pa.table({**{k: [v.as_py()] for k, v in zip(keys, key, strict=True)}, **out}, schema=schema)
 
     return rows.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} bigint" for k in keys) + ", ids binary, tile binary")
 
@@ -123,22 +122,22 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
     f = p.producer
     (oq, ok), (q, k) = f.operands, frames
     columns = [[oq.factor], [ok.factor]] if f.value is None else [sorted(n for i, n in f.value.columns() if i == side) for side in (0, 1)]
-    sizes = [_complete(df, o.keys, s.feature, c) for df, o, c in ((q, oq, columns[0]), (k, ok, columns[1]))]
-    own = _complete(values, p.values.keys, s.own, [p.values.factor])
-    if None in sizes or own is None or sizes[0][1] != sizes[1][1] or own[2] != sizes[1][2]:
-        return None
-    key_columns = [ok.keys[d] for d in (*s.batch, s.summed)]
-    value_columns = [p.values.keys[d] for d in (*s.batch, s.summed)]
-    there = k.select(*key_columns).distinct().toDF(*(f"x{i}" for i in range(len(key_columns))))
-    other = values.select(*value_columns).distinct().toDF(*(f"x{i}" for i in range(len(key_columns))))
-    if not there.join(other, there.columns, "left_anti").isEmpty():
+    features, theirs = (_extent(df, o.keys, s.feature, c) for df, o, c in ((q, oq, columns[0]), (k, ok, columns[1])))
+    width = _extent(values, p.values.keys, s.own, [p.values.factor])
+    if features is None or features != theirs or width is None:
         return None
-    features = sizes[0][1]
     queries = _packed(q, [oq.keys[d] for d in s.batch], oq.keys[s.kept], oq.keys.get(s.feature), columns[0], block, features)
     keys = _packed(k, [ok.keys[d] for d in s.batch], ok.keys[s.summed], ok.keys.get(s.feature), columns[1], block, features)
-    vals = _packed(values, [p.values.keys[d] for d in s.batch], p.values.keys[s.summed], p.values.keys[s.own], [p.values.factor], block, own[1])
+    vals = _packed(values, [p.values.keys[d] for d in s.batch], p.values.keys[s.summed], p.values.keys[s.own], [p.values.factor], block, width)
     b = [f"b{i}" for i in range(len(s.batch))]
-    blocks = k.agg(F.floor(F.max(ok.keys[s.summed]) / block)).first()[0] + 1
+    # Tiles are made once and kept: what follows reads them several times.
+    queries, keys, vals = (tiles.persist(StorageLevel.MEMORY_AND_DISK) for tiles in (queries, keys, vals))
+    apart = keys.select(*b, "block", F.col("ids").alias("ki")).join(vals.select(*b, "block", F.col("ids").alias("vi")), [*b, "block"], "full").where("NOT (ki <=> vi) OR ki = X''")
+    if not apart.isEmpty() or not queries.where("ids = X''").isEmpty():
+        for tiles in (queries, keys, vals):
+            tiles.unpersist()
+        return None
+    blocks = keys.agg(F.max("block")).first()[0] + 1
     # Each query tile with the key blocks that some condition-keeping pair is in.
     queries = queries.select(*b, F.col("block").alias("x"), F.col("ids").alias("qi"), F.col("tile").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     for c in f.conditions:
@@ -152,7 +151,7 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
 
     def arrays(r: dict) -> tuple[np.ndarray, ...]:
         n = len(r["qi"]) // 8
-        return np.frombuffer(r["shift"]), np.frombuffer(r["n"], "<i8"), np.frombuffer(r["z"]), np.frombuffer(r["a"]).reshape(n, own[1])
+        return np.frombuffer(r["shift"]), np.frombuffer(r["n"], "<i8"), np.frombuffer(r["z"]), np.frombuffer(r["a"]).reshape(n, width)
 
     def raw(parts: tuple[np.ndarray, ...]) -> dict:
         return {n: x.astype("<i8" if n == "n" else "<f8").tobytes() for n, x in zip(("shift", "n", "z", "a"), parts, strict=True)}
@@ -165,7 +164,7 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
                 qi, ki = np.frombuffer(r["qi"], "<i8"), np.frombuffer(r["ki"], "<i8")
                 qs = np.frombuffer(r["q"]).reshape(len(columns[0]), len(qi), features)
                 ks = np.frombuffer(r["k"]).reshape(len(columns[1]), len(ki), features)
-                vs = np.frombuffer(r["v"]).reshape(len(ki), own[1])
+                vs = np.frombuffer(r["v"]).reshape(len(ki), width)
                 keep = _kept(f.conditions, s.kept, qi, ki)
                 w, shift = _weights(p.weight, _scores(f, qs, ks, columns), keep)
                 with np.errstate(all="ignore"):
@@ -189,9 +188,9 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
         with np.errstate(all="ignore"):
             v = a[at] / z[at][:, None] if p.normalizer else a[at]
         ids = np.frombuffer(rows[0]["qi"], "<i8")[at]
-        total = len(at) * own[1]
+        total = len(at) * width
         fixed = {x: pa.array(np.full(total, rows[0][x]), pa.int64()) for x in b}
-        return pa.table({**fixed, "t": pa.array(np.repeat(ids, own[1]), pa.int64()), "c": pa.array(np.tile(np.arange(own[1]), len(at)), pa.int64()), "v": pa.array(v.ravel(), pa.float64())})
+        return pa.table({**fixed, "t": pa.array(np.repeat(ids, width), pa.int64()), "c": pa.array(np.tile(np.arange(width), len(at)), pa.int64()), "v": pa.array(v.ravel(), pa.float64())})
 
     out = parts.groupBy(*b, "x").applyInArrow(final, "".join(f"{x} bigint, " for x in b) + "t bigint, c bigint, v double")
     types = {d: dict(q.dtypes)[oq.keys[d]] for d in s.batch}
