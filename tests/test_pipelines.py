@@ -107,6 +107,7 @@ FUSED = {
     "after": f"WITH {SCORES}, {WINDOW}, {NORM} SELECT v.d AS c, w.a, sum(v.x * w.w / n.z) AS o FROM w JOIN v ON w.b = v.t JOIN n ON w.a = n.a GROUP BY w.a, v.d",
     "rows": f"WITH {SCORES}, {WINDOW} SELECT w.a, v.d AS c, sum(w.w * v.x) / sum(w.w) AS o FROM w JOIN v ON w.b = v.t GROUP BY w.a, v.d",
     "causal": f"WITH {SCORES.replace('q.d = k.d', 'q.d = k.d AND q.t >= k.t')}, {WINDOW}, {NORM} {OUT} ORDER BY o LIMIT 7",
+    **{n: f"WITH {SCORES}, w AS (SELECT a, b, {w} AS w FROM s), {NORM} {OUT}" for n, w in (("unshifted", "exp(s)"), ("sigmoid", "1 / (1 + exp(-s))"), ("cauchy", "1 / (1 + power(s, 2))"))},
     "chain": f"WITH {SCORES.replace(' / 2.0D', '')} SELECT s.a, v.d AS c, sum(s.s * v.x) AS o FROM s JOIN v ON s.b = v.t GROUP BY s.a, v.d",
 }
 #: Look-alikes that aren't the pipeline they resemble.
