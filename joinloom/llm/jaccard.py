@@ -3,12 +3,12 @@
 Texts of equal shingle sets form a class; classes are the nodes. Steps, none of which gathers documents on the driver or
 enumerates the pairs within a group:
 
-1. Each class is compared with the leader (least class) of each bucket of ``KEYS`` minhashes it falls in. The links found
-   partition most similar documents into components.
+1. Each class is compared with the leaders of the buckets of its first ``LEADERS`` minhashes, a random member for each, if ``ALIKE`` of
+   ``KEYS`` minhashes agree. The links found partition most similar documents into components. What this leaves out is found in the next steps.
 2. Groups are parts of a component of about ``GROUP`` classes. With a threshold of t, two linked sets share an element among the
    first n - ceil(t n) + 1 of either, in any one order of elements (rare ones first, by counts over the corpus). The matrix
-   holds these elements of each group's members, dealt by element. A query's elements give the groups of other
-   components, no smaller than its own, that can hold a partner.
+   holds these elements of each group's members with their places, dealt by element. A query's elements give the groups of other
+   components, no smaller than its own, that can hold a partner by their sizes and by what is left behind the element.
 3. For each such query and group, the overlap with the union of the members' sets bounds every member's: it must
    reach t times the query's size. Only groups that pass are opened and compared member by member.
 4. Links of 1 and 3 give the components. A pair left out lies within one component of step 1 already.
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .shared import U64, Words, large_strings, mix, runs, stored, text_slices, width
 
-KEYS, GROUP = 4, 64
+KEYS, ALIKE, LEADERS, GROUP = 8, 5, 5, 64
 #: Elements of more classes than COMMON come last in the order, the most frequent MOST_COMMON of them (a bound on what is sent round).
-COMMON, MOST_COMMON = 8, 1 << 20
-#: Queries of one group that a task takes at most.
-QUERIES = 512
+COMMON, MOST_COMMON = 3, 1 << 20
+#: About how many queries and members a task compares.
+BLOCK = 1024
 #: Rows of two numbers up to which a side is broadcast.
 FEW = 500_000
 _C = mix(np.arange(100, 132, dtype=np.uint64)) | U64(1)
@@ -83,7 +83,7 @@ def _sets(docs: DataFrame, size: int, rows: Callable, schema: str) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), large_strings(b.column(1))
-            for a, z in text_slices(texts, 1 << 24):
+            for a, z in text_slices(texts, 1 << 22):
                 for columns in rows(ids.slice(a, z - a).to_pylist(), list(shingle_sets(texts.slice(a, z - a), size))):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -110,6 +110,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _opened(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links of queries with members of the groups they ask for: only groups whose union passes the bound are opened."""
+
+    def opened(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        inside: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
+        for name, grp, component, raw in zip(*(right[c].to_pylist() for c in ("class", "grp", "component", "shingles")), strict=True):
+            inside.setdefault(grp, {})[name] = component, np.frombuffer(raw, "<u8")
+        unions = {g: np.unique(np.concatenate([s for _, s in x.values()])) for g, x in inside.items()}
+        for q, grps, raw in zip(*(left[c].to_pylist() for c in ("of", "grps", "asked")), strict=True):
+            s = np.frombuffer(raw, "<u8")
+            for g in grps:
+                union = unions[g]
+                at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+                if 100 * int((union[at] == s).sum()) >= percent * len(s):
+                    # One link to each component in the group tells all that the components need.
+                    met: set[int] = set()
+                    for name, (component, other) in inside[g].items():
+                        if name != q and component not in met and linked(s, other, percent):
+                            met.add(component)
+                            out.append((q, name))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return opened
+
+
 def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -122,20 +149,25 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     rows = stored(_sets(docs, size, signed, "doc_id bigint, n bigint, class bigint, keys array<bigint>"), "classes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """``class, shingles`` and the columns of ``wanted``, one row for each of its rows."""
+        """``class, shingles`` of the classes in ``wanted``, from the row of least id of each (and rows that repeat it, unless in one slice)."""
 
         def shingles(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
-            kept = {class_of(s): s for s in sets if len(s)}
-            yield list(kept), [s.astype("<u8").tobytes() for s in kept.values()]
+            kept = {(class_of(s), i): s for i, s in zip(ids, sets, strict=True) if len(s)}
+            yield [c for c, _ in kept], [i for _, i in kept], [s.astype("<u8").tobytes() for s in kept.values()]
 
-        all_sets = _sets(docs, size, shingles, "class bigint, shingles binary")
-        found = all_sets.join(_few(wanted), "class")
-        return found.dropDuplicates(wanted.columns)
+        least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+        wanted = _few(stored(wanted.distinct().join(least, "class"), "wanted"))
+        found = _sets(docs, size, shingles, "class bigint, doc_id bigint, shingles binary").join(wanted, "class")
+        return stored(found.where(F.col("doc_id").eqNullSafe(F.col("least"))).select("class", "shingles"), "sets")
 
     # 1. Leaders.
-    keyed = rows.where("n > 0").select("class", F.posexplode("keys").alias("k", "key")).distinct()
-    led = keyed.groupBy("k", "key").agg(F.min("class").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    pairs = stored(keyed.join(led, ["k", "key"]).where("class != leader").select("class", "leader").distinct(), "pairs")
+    distinct = rows.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = distinct.select("class", F.posexplode("keys").alias("k", "key")).where(F.col("k") < LEADERS)
+    led = keyed.groupBy("k", "key").agg(F.min_by("class", F.xxhash64("class", "k")).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
+    pairs = keyed.join(led, ["k", "key"]).where("class != leader").select("class", "leader").distinct()
+    pairs = pairs.join(distinct, "class").join(distinct.toDF("leader", "m", "led"), "leader")
+    agree = F.size(F.filter(F.zip_with("keys", "led", lambda x, y: x == y), lambda x: x))
+    pairs = stored(pairs.where((agree >= ALIKE) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("class", "leader"), "pairs")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,41 +175,51 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
             keep = pa.array([linked(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield b.select(["class", "leader"]).filter(keep).rename_columns(["a", "b"])
 
-    members = sets_of(pairs)
-    leaders = sets_of(stored(pairs.select(F.col("leader").alias("class")).distinct(), "leaders")).select(F.col("class").alias("leader"), F.col("shingles").alias("led_by"))
-    stars = stored(members.join(leaders, "leader").select("class", "leader", "shingles", "led_by").mapInArrow(same, "a bigint, b bigint"), "stars")
+    sets = sets_of(pairs.select("class").union(pairs.select("leader")))
+    led_by = sets.select(F.col("class").alias("leader"), F.col("shingles").alias("led_by"))
+    stars = stored(sets.join(pairs, "class").join(led_by, "leader").select("class", "leader", "shingles", "led_by").mapInArrow(same, "a bigint, b bigint"), "stars")
     parts = components(stars)
     # 2. Groups, and the matrix.
     sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
     group = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)))
-    groups = stored(parts.join(sizes, "component").select(F.col("node").alias("class"), "component", "members", group.alias("grp")), "groups")
+    pure = parts.join(sizes, "component").select(F.col("node").alias("class"), "component", "members", group.alias("grp"), F.lit(0).alias("mixed"))
+    # Classes without a link so far that agree in two minhashes are groups as well: alike, but each a component of its own.
+    single = distinct.join(parts, distinct["class"] == parts.node, "left_anti").select("class", F.xxhash64(F.slice("keys", 1, 2)).alias("component"))
+    alike = single.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    group = F.xxhash64("component", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / GROUP)), F.lit("mixed"))
+    groups = stored(pure.unionByName(single.join(alike, "component").select("class", "component", "members", group.alias("grp"), F.lit(1).alias("mixed"))), "groups")
     buckets = width(docs, 8)
+    # Elements by their highest bits, more of them where there is more to tell apart: a bucket and 32 bits.
+    bits = 32 + buckets.bit_length() - 1
+    short = lambda values: values >> U64(64 - bits)
 
     def dealt(values: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
-        """Values and what belongs to them by bucket, as bytes."""
+        """Short values by bucket, and what belongs to them, as bytes."""
         to = (values % U64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
+        rest = (values // U64(buckets)).astype("<u4")
         heads = runs(to[order])
         for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
             at = order[a:z]
-            yield int(to[at[0]]), *(np.ascontiguousarray(x[at]).tobytes() for x in (values, *more))
+            yield int(to[at[0]]), *(np.ascontiguousarray(x[at]).tobytes() for x in (rest, *more))
 
-    def first_ones(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
-        kept = {class_of(s): s[: prefix_size(len(s), percent)] for s in sets if len(s)}
+    def all_of(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
+        kept = {class_of(s): s for s in sets if len(s)}
         if kept:
-            yield tuple(zip(*dealt(np.concatenate(list(kept.values()))), strict=True))
+            yield tuple(zip(*dealt(short(np.concatenate(list(kept.values())))), strict=True))
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values: dict[int, list[bytes]] = {}
         for b in batches:
             for k, v in zip(b.column("bucket").to_pylist(), b.column("shingles").to_pylist(), strict=True):
                 values.setdefault(k, []).append(v)
-        for v in values.values():
-            token, n = np.unique(np.frombuffer(b"".join(v), "<u8"), return_counts=True)
+        for k, v in values.items():
+            token, n = np.unique(np.frombuffer(b"".join(v), "<u4"), return_counts=True)
             often = n > COMMON
+            token = token.astype(np.uint64) * U64(buckets) + U64(k)
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["token", "n"])
 
-    counts = _sets(docs, size, first_ones, "bucket bigint, shingles binary").repartition(buckets, "bucket").mapInArrow(frequent, "token bigint, n bigint")
+    counts = _sets(docs, size, all_of, "bucket bigint, shingles binary").repartition(buckets, "bucket").mapInArrow(frequent, "token bigint, n bigint")
     common = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()  # a statistic of bounded size
     token = common["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
@@ -190,85 +232,90 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
         for s in sets:
             if len(s) and (c := class_of(s)) not in out:
                 if len(token):
-                    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                    n = np.where(token[at] == s, often[at], 0)
+                    at = np.minimum(np.searchsorted(token, short(s)), len(token) - 1)
+                    n = np.where(token[at] == short(s), often[at], 0)
                     s = s[np.argsort(n, kind="stable")] if n.any() else s
-                out[c] = s[: prefix_size(len(s), percent)].tobytes()
-        yield list(out), list(out.values())
+                out[c] = len(s), s[: prefix_size(len(s), percent)].tobytes()
+        yield list(out), [n for n, _ in out.values()], [x for _, x in out.values()]
 
-    firsts = _sets(docs, size, rarest, "class bigint, firsts binary").join(groups, "class", "left").dropDuplicates(["class"])
-    firsts = firsts.select("class", "firsts", F.coalesce("component", "class").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("grp", "class").alias("grp"))
+    # Stored between the two Python steps, so that no task runs both at once.
+    firsts = stored(_sets(docs, size, rarest, "class bigint, n bigint, firsts binary"), "firsts", "snappy").join(_few(groups), "class", "left")
+    firsts = firsts.select("class", "n", "firsts", F.coalesce("component", "class").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("mixed", F.lit(0)).alias("mixed"), F.coalesce("grp", "class").alias("grp"))
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = [np.frombuffer(x, "<u8") for x in b.column("firsts").to_pylist()]
             if values:
                 n = [len(v) for v in values]
-                c, p, m, g = (np.repeat(b.column(x).to_numpy(), n) for x in ("class", "component", "members", "grp"))
+                c, p, m, g, size, mixed = (np.repeat(b.column(x).to_numpy(), n) for x in ("class", "component", "members", "grp", "n", "mixed"))
+                place = np.concatenate([np.arange(k, dtype="<u4") for k in n])
                 # Most classes are alone: what equals the class becomes zero, which is small once compressed.
-                k, *columns = zip(*dealt(np.concatenate(values), c, p ^ c, m.astype("<u4"), g ^ c), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "token", "class", "component", "members", "grp"])
+                k, *columns = zip(*dealt(short(np.concatenate(values)), c, p ^ c, (2 * np.log2(m).astype("u1") + mixed).astype("u1"), g ^ c, size.astype("<u4"), place), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "token", "class", "component", "members", "grp", "n", "place"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[list[bytes]]] = {}
         for b in batches:
-            columns = [b.column(x).to_pylist() for x in ("bucket", "token", "class", "component", "members", "grp")]
+            columns = [b.column(x).to_pylist() for x in ("bucket", "token", "class", "component", "members", "grp", "n", "place")]
             for k, *x in zip(*columns, strict=True):
-                for to, v in zip(own.setdefault(k, [[], [], [], [], []]), x, strict=True):
+                for to, v in zip(own.setdefault(k, [[] for _ in x]), x, strict=True):
                     to.append(v)
         for k in list(own):
-            t, c, p, m, g = (np.frombuffer(b"".join(v), d) for v, d in zip(own.pop(k), ("<u8", "<i8", "<i8", "<u4", "<i8"), strict=True))
+            t, c, p, m, g, n, at = (np.frombuffer(b"".join(v), d) for v, d in zip(own.pop(k), ("<u4", "<i8", "<i8", "u1", "<i8", "<u4", "<u4"), strict=True))
             order = np.argsort(t, kind="stable")
-            t, c, p, m, g = t[order], c[order], p[order] ^ c[order], m[order], g[order] ^ c[order]
+            t, c, p, m, g, n, at = t[order], c[order], p[order] ^ c[order], m[order], g[order] ^ c[order], n[order], at[order]
             heads = runs(t)
             ends = np.append(heads[1:], len(t))
             several = ends - heads > 1
             found: set[tuple[int, int]] = set()
             for a, z in zip(heads[several].tolist(), ends[several].tolist(), strict=True):
-                if (p[a:z] == p[a]).all():
+                if (p[a:z] == p[a]).all() and not m[a] & 1:
                     continue
-                # Groups of the element by (members, component): a query looks at those of larger ones.
-                seen = sorted(set(zip(m[a:z].tolist(), p[a:z].tolist(), g[a:z].tolist(), strict=True)))
-                for q, mine in zip(c[a:z].tolist(), zip(m[a:z].tolist(), p[a:z].tolist(), strict=True), strict=True):
-                    for x in reversed(seen):
-                        if x[:2] <= mine:
-                            break
-                        found.add((q, x[2]))
+                # Groups of the element by (magnitude, component), with their sizes and the element's first place: a query looks at those of
+                # larger components. The first shared element at places i and j leaves an overlap of at most
+                # min(|q| - i, |d| - j); a link needs (t / (1 + t)) (|q| + |d|).
+                seen: dict[tuple, list[int]] = {}
+                for *key, x, i in zip(m[a:z].tolist(), p[a:z].tolist(), g[a:z].tolist(), n[a:z].tolist(), at[a:z].tolist(), strict=True):
+                    r = seen.setdefault(tuple(key), [x, x, x - i])
+                    r[:] = min(r[0], x), max(r[1], x), max(r[2], x - i)
+                keys = sorted(seen)
+                low, high, left = np.array([seen[x] for x in keys]).T
+                ids = np.array([x[2] for x in keys], np.int64)
+                ranks = {x: r for r, x in enumerate(dict.fromkeys(x[:2] for x in keys))}
+                rank = np.array([ranks[x[:2]] for x in keys])
+                mixed = np.array([x[0] & 1 for x in keys])
+                for q, x, i, *mine in zip(c[a:z].tolist(), n[a:z].tolist(), at[a:z].tolist(), m[a:z].tolist(), p[a:z].tolist(), strict=True):
+                    # From groups of unlinked classes to themselves, too.
+                    fits = (rank + mixed > ranks[tuple(mine)]) & (rank >= ranks[tuple(mine)]) & (100 * low <= x * 10000 // percent) & (100 * high >= percent * x)
+                    least = np.maximum(low, -(-percent * x // 100))
+                    fits &= (100 + percent) * np.minimum(x - i, left) >= percent * (x + least)
+                    found.update((q, h) for h in ids[fits].tolist())
                 if len(found) > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["class", "grp"])
                     found = set()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["class", "grp"])
 
-    met = firsts.mapInArrow(matrix, "bucket bigint, token binary, class binary, component binary, members binary, grp binary").repartition(buckets, "bucket").mapInArrow(candidates, "class bigint, grp bigint")
+    met = firsts.mapInArrow(matrix, "bucket bigint, token binary, class binary, component binary, members binary, grp binary, n binary, place binary").repartition(buckets, "bucket").mapInArrow(candidates, "class bigint, grp bigint")
     met = stored(met.distinct(), "met")
-    # 3. Bounds, and the groups that pass.
-    asked = met.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("chunks"))
-    queries = stored(met.join(asked, "grp").select("class", "grp", F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk")), "queries")
-    within = groups.select("class", "grp").join(asked, "grp")
-    alone = asked.join(groups.select("grp").distinct(), "grp", "left_anti").select(F.col("grp").alias("class"), "grp", "chunks")
-    inside = stored(within.select("class", "grp", "chunks").union(alone), "inside")
-
-    def opened(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int]] = []
-        if left.num_rows and right.num_rows:
-            sets = [np.frombuffer(x, "<u8") for x in right["shingles"].to_pylist()]
-            names = right["class"].to_pylist()
-            union = np.unique(np.concatenate(sets))
-            for q, raw in zip(left["class"].to_pylist(), left["shingles"].to_pylist(), strict=True):
-                s = np.frombuffer(raw, "<u8")
-                at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-                if 100 * int((union[at] == s).sum()) >= percent * len(s):
-                    out += [(q, name) for name, other in zip(names, sets, strict=True) if linked(s, other, percent)]
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
+    # 3. Bounds, and the groups that pass. What hangs together by candidates is one family, dealt as blocks of queries and of groups,
+    # so that a set travels once for each block rather than for each pair.
     if met.isEmpty():
         more = None
     else:
-        members = sets_of(inside).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-        members = members.select(*(F.col(c).alias(c) for c in ("class", "grp", "chunk", "shingles")))
-        more = sets_of(queries).groupBy("grp", "chunk").cogroup(members.groupBy("grp", "chunk")).applyInArrow(opened, "a bigint, b bigint")
+        family = components(met.select(F.col("class").alias("a"), F.col("grp").alias("b")).union(met.select("grp", "grp"))).select("node", F.col("component").alias("family"))
+        asked = met.select("grp").distinct()
+        inside = groups.select("class", "grp", F.when(F.col("mixed") == 1, F.col("class")).otherwise(F.col("component")).alias("component")).join(asked, "grp")
+        inside = inside.unionByName(asked.join(groups.select("grp").distinct(), "grp", "left_anti").select(F.col("grp").alias("class"), "grp", F.col("grp").alias("component")))
+        inside = stored(inside.join(family, inside.grp == family.node).select("class", "grp", "component", "family"), "inside")
+        queries = stored(met.join(family, met.grp == family.node).select("class", "grp", "family"), "queries")
+        blocks = queries.groupBy("family").agg(F.ceil(F.count_distinct("class") / BLOCK).alias("across")).join(inside.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("down")), "family")
+        down, across = F.pmod(F.xxhash64("grp"), F.col("down")).alias("row"), F.pmod(F.xxhash64("class"), F.col("across")).alias("column")
+        sets = sets_of(queries.select("class").union(inside.select("class")))
+        asking = queries.join(blocks, "family").select("family", down, across, "class", "grp").groupBy("family", "row", "column", "class").agg(F.collect_list("grp").alias("grps"))
+        asking = asking.join(sets, "class").toDF("of", "q_family", "q_row", "q_column", "grps", "asked")
+        members = inside.join(blocks, "family").select("family", down, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("across") - 1)).alias("column"), "class", "grp", "component").join(sets, "class")
+        more = asking.groupBy("q_family", "q_row", "q_column").cogroup(members.groupBy("family", "row", "column")).applyInArrow(_opened(percent), "a bigint, b bigint")
         more = stored(more, "links")
     # 4. Components of all links.
     final = parts if more is None or more.isEmpty() else components(stars.unionByName(more))

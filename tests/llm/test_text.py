@@ -167,7 +167,7 @@ def test_components(docs_of, monkeypatch, seed):
 
 def test_links_that_no_leader_finds(docs_of, monkeypatch):
     """Without step 1, the matrix alone finds every link."""
-    monkeypatch.setattr(jaccard, "KEYS", 1)
+    monkeypatch.setattr(jaccard, "ALIKE", 99)
     monkeypatch.setattr(jaccard, "COMMON", 1)
     rows = families(3)
     got = jaccard.similar(docs_of(rows), percent=60).collect()
