@@ -65,10 +65,12 @@ def license_scan(docs: DataFrame, notices: DataFrame, least: float = 0.8, id_col
     fewest, most = math.ceil(low * least / (2 - least) - 1e-9), math.floor(high * (2 - least) / least + 1e-9)
     reach = F.sequence(F.ceil(F.col("n_b") * (least / (2 - least)) - 1e-9).cast("int"), F.floor(F.col("n_b") * ((2 - least) / least) + 1e-9).cast("int"))
     known = known.select("license", "b", "n_b", F.explode(reach).alias("n_a"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    units = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col(text_col)))).otherwise(lines)).alias("unit"))
-    units = units.where(F.length("unit") > 0).select("doc_id", words(F.col("unit")).alias("w")).where((F.size("w") > fewest))
-    units = units.where(F.size(F.array_distinct("w")) <= most + 1)
+    # Each line is split into words once. A text of several lines is a unit as well, unless a line alone has too many words for any template.
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), words)
+    units = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).withColumn("n", F.transform("lines", lambda w: F.size(F.array_distinct(w))))
+    small = F.filter("lines", lambda w, i: (F.size(w) > fewest) & (F.get("n", i) <= most + 1))
+    whole = F.when((F.size("lines") > 1) & (F.array_max("n") <= most + 1), F.array(F.flatten("lines"))).otherwise(F.array().cast("array<array<string>>"))
+    units = units.select("doc_id", F.explode(F.concat(small, whole)).alias("w")).where((F.size("w") > fewest) & (F.size(F.array_distinct("w")) <= most + 1))
     units = units.select("doc_id", bigrams(F.col("w")).alias("a")).withColumn("n_a", F.size("a")).where(F.col("n_a").between(fewest, most))
     dice = 2 * F.size(F.array_intersect("a", "b")) / (F.col("n_a") + F.col("n_b"))
     found = units.join(known, "n_a").select("doc_id", "license", "a", dice.alias("dice")).where(F.col("dice") >= least)
