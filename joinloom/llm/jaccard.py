@@ -115,6 +115,13 @@ def _opened(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def opened(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
+        lead: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while lead.setdefault(x, x) != x:
+                lead[x] = x = lead[lead[x]]
+            return x
+
         inside: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
         for name, grp, component, raw in zip(*(right[c].to_pylist() for c in ("class", "grp", "component", "shingles")), strict=True):
             inside.setdefault(grp, {})[name] = component, np.frombuffer(raw, "<u8")
@@ -125,11 +132,10 @@ def _opened(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 union = unions[g]
                 at = np.minimum(np.searchsorted(union, s), len(union) - 1)
                 if 100 * int((union[at] == s).sum()) >= percent * len(s):
-                    # One link to each component in the group tells all that the components need.
-                    met: set[int] = set()
+                    # What earlier links have joined needs no other link.
                     for name, (component, other) in inside[g].items():
-                        if name != q and component not in met and linked(s, other, percent):
-                            met.add(component)
+                        if find(component) != find(q) and linked(s, other, percent):
+                            lead[find(component)] = find(q)
                             out.append((q, name))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -298,12 +304,14 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
 
     met = firsts.mapInArrow(matrix, "bucket bigint, token binary, class binary, component binary, members binary, grp binary, n binary, place binary").repartition(buckets, "bucket").mapInArrow(candidates, "class bigint, grp bigint")
     met = stored(met.distinct(), "met")
-    # 3. Bounds, and the groups that pass. What hangs together by candidates is one family, dealt as blocks of queries and of groups,
+    # 3. Bounds, and the groups that pass. Groups whose queries are near in the graph of candidates are one family, dealt as blocks of queries and of groups,
     # so that a set travels once for each block rather than for each pair.
     if met.isEmpty():
         more = None
     else:
-        family = components(met.select(F.col("class").alias("a"), F.col("grp").alias("b")).union(met.select("grp", "grp"))).select("node", F.col("component").alias("family"))
+        first = met.groupBy("grp").agg(F.min("class").alias("first"))
+        second = met.join(first, "grp").groupBy("class").agg(F.min("first").alias("second"))
+        family = stored(met.join(second, "class").groupBy(F.col("grp").alias("node")).agg(F.min("second").alias("family")), "family")
         asked = met.select("grp").distinct()
         inside = groups.select("class", "grp", F.when(F.col("mixed") == 1, F.col("class")).otherwise(F.col("component")).alias("component")).join(asked, "grp")
         inside = inside.unionByName(asked.join(groups.select("grp").distinct(), "grp", "left_anti").select(F.col("grp").alias("class"), "grp", F.col("grp").alias("component")))
