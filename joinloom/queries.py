@@ -109,6 +109,16 @@ def fold_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_fold(fold, [left, right])
 
 
+@_query(f"WITH {LQ}, {PM} SELECT l.i, sum(l.v * p.v) AS v FROM lq l JOIN (SELECT v, nullif(j % 7, 0) AS j FROM pm) p ON nullif(l.j % 7, 0) IS NOT DISTINCT FROM p.j GROUP BY l.i")
+def fold_null_safe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fold_null_safe over all parts."""
+    t = T(spark, sf_dir)
+    key = F.nullif(F.col("j") % 7, F.lit(0)).alias("j")
+    fold = Fold((Operand({"i": "i", "j": "j"}, "v"), Operand({"j": "j"}, "v")), _dims("i j", "j"), ("i",))
+    left, right = t.lq.groupBy("i", key).agg(F.sum("v").alias("v")), t.pm.groupBy(key).agg(F.sum("v").alias("v"))
+    return run_fold(fold, [left, right])
+
+
 @_query(f"WITH {E} SELECT l.h, l.t AS a, r.t AS b, round(sum(l.x * r.x), 6) + 0.0::DOUBLE AS v FROM e l JOIN e r ON l.h = r.h AND l.d = r.d GROUP BY l.h, l.t, r.t")
 def fold_batch_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T(spark, sf_dir).e
