@@ -210,6 +210,57 @@ def fold_null_when(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_suppkey", F.when(F.col("s_acctbal") < 1000, None).otherwise(F.col("v")).alias("v"))
 
 
+#: The same six over whole tables. Each domain has, beside its own rows, a copy of them under keys that no fact has: -1 - key.
+_ALL = "f AS (SELECT i, sum(lq.v * pm.v) AS v FROM lq JOIN pm ON lq.j = pm.j GROUP BY i)"
+_SUPPLIERS = "s AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT -1 - s_suppkey, s_name, s_acctbal FROM supplier)"
+_LINES = "s AS (SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT -1 - l_suppkey, l_orderkey, l_linenumber FROM lineitem)"
+
+
+def _with_unknown(domain: DataFrame, key: str, *columns: str) -> DataFrame:
+    return domain.select(key, *columns).union(domain.select((F.lit(-1) - F.col(key)).alias(key), *columns))
+
+
+def _whole(spark: SparkSession, sf_dir: str, missing: float | None, *columns: str) -> DataFrame:
+    t = T(spark, sf_dir)
+    fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "s_suppkey"}, ("s_suppkey", *columns), missing))
+    return run_fold(fold, [t.lq, t.pm], domain=_with_unknown(t.supplier, "s_suppkey", *columns))
+
+
+@_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, s_name, f.v FROM s LEFT JOIN f ON s_suppkey = f.i")
+def fold_domain_left_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir, None, "s_name")
+
+
+@_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, s_name, coalesce(f.v, 0) AS v FROM s LEFT JOIN f ON s_suppkey = f.i")
+def fold_domain_coalesce_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir, 0.0, "s_name")
+
+
+@_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, s_name, CASE WHEN f.v IS NULL THEN -1 ELSE f.v END AS v FROM s LEFT JOIN f ON s_suppkey = f.i")
+def fold_domain_case_fill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir, -1.0, "s_name")
+
+
+@_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS}, g AS (SELECT s.s_suppkey AS i, sum(f.v) AS v FROM s JOIN f ON s.s_suppkey = f.i GROUP BY s.s_suppkey) SELECT s_suppkey, s_name, coalesce(g.v, 0) AS v FROM s LEFT JOIN g ON s_suppkey = g.i")
+def fold_join_back_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T(spark, sf_dir)
+    fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "s_suppkey"}, ("s_suppkey", "s_name"), 0.0))
+    return join_back(fold, [t.lq, t.pm], _with_unknown(t.supplier, "s_suppkey", "s_name"))
+
+
+@_query(f"WITH {LQ}, {PM}, {_ALL}, {_LINES}, g AS (SELECT s.l_suppkey AS i, sum(f.v) AS v FROM s JOIN f ON s.l_suppkey = f.i GROUP BY s.l_suppkey) SELECT l_orderkey, l_linenumber, coalesce(g.v, 0) AS v FROM s LEFT JOIN g ON l_suppkey = g.i")
+def fold_join_back_duplicates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T(spark, sf_dir)
+    fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "l_suppkey"}, ("l_orderkey", "l_linenumber"), 0.0))
+    return join_back(fold, [t.lq, t.pm], _with_unknown(t.lineitem, "l_suppkey", "l_orderkey", "l_linenumber"))
+
+
+@_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, CASE WHEN s_acctbal < 1000 THEN NULL ELSE coalesce(f.v, 0) END AS v FROM s LEFT JOIN f ON s_suppkey = f.i")
+def fold_null_when_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _whole(spark, sf_dir, 0.0, "s_acctbal")
+    return out.select("s_suppkey", F.when(F.col("s_acctbal") < 1000, None).otherwise(F.col("v")).alias("v"))
+
+
 @_query("SELECT CAST(c_nationkey AS BIGINT) AS n, sum(floor(o_totalprice) * l_quantity) AS v FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_nationkey")
 def fold_three_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T(spark, sf_dir)
