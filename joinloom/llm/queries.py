@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, huffman, interpolation, jaccard, licenses, packing, token_counts, toxicity
+from . import chat, decontamination, fingerprints, huffman, interpolation, jaccard, licenses, packing, passages, token_counts, toxicity
 from .shared import crc_of_id, table
 
 
@@ -21,6 +21,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+def op1_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.license_passages(table(spark, sf_dir, "documents"), licenses.templates(spark, passages.texts()))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.begin)
