@@ -144,7 +144,7 @@ def _opened(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row."""
+    """``doc_id, n_shingles, component_id`` of each row. Components only: links that they don't need are skipped; links() gives all."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def signed(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
@@ -331,3 +331,26 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     low = of.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked_rows = of.where("n > 0").join(low, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked_rows.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def links(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b, class_a, class_b, n_both, n_either``: every link between two classes, once, with the least id of each (null where all are).
+
+    All pairs that share an element among their first ones are compared, so work and rows grow with the square of a large family, as the links do.
+    """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def whole(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
+        kept = [(i, class_of(s), s.view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
+        yield [i for i, _, _ in kept], [c for _, c, _ in kept], [s for _, _, s in kept]
+
+    rows = _sets(docs, size, whole, "doc_id bigint, class bigint, shingles array<bigint>")
+    classes = stored(rows.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("shingles").alias("s")).withColumn("n", F.size("s").cast("bigint")), "all")
+    # The sets are in one order, so two that are linked share an element of their prefixes.
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1).cast("int")
+    firsts = classes.select("class", "n", F.explode(F.slice("s", 1, length)).alias("t"))
+    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = firsts.join(firsts.toDF("other", "m", "t"), "t").where((F.col("class") < F.col("other")) & near).select("class", "other").distinct()
+    both = pairs.join(classes, "class").join(classes.toDF("other", "id_b", "s_b", "m"), "other").withColumn("n_both", F.size(F.array_intersect("s", "s_b")).cast("bigint"))
+    both = both.withColumn("n_either", F.col("n") + F.col("m") - F.col("n_both")).where(100 * F.col("n_both") >= percent * F.col("n_either"))
+    return both.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.col("class").alias("class_a"), F.col("other").alias("class_b"), "n_both", "n_either")
