@@ -3,7 +3,8 @@ with benchmark passages go, and the rest is packed into windows of tokens.
 
 Each stage is a function of (spark, docs, sf_dir) over all that the stage before kept. All but the last return the columns of
 documents. Rows are told apart by a number of their own, so null and repeated ids are safe: of repeated rows one stays, since
-they are near duplicates; rows without words are no duplicates of anything.
+they are near duplicates; rows without words are no duplicates of anything. An empty table gives an empty one, texts are read whole at any length, and other
+columns stay whatever their names: those that a stage adds for its own use have names that are free, and go.
 """
 
 from __future__ import annotations
@@ -12,42 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinloom.llm import decontamination, jaccard, packing, toxicity
-from joinloom.llm.shared import stored, table
+from joinloom.llm.shared import free_name, stored, table
 
-_ROW = "__row"
 #: Row numbers up to which those to drop are broadcast.
 FEW = 500_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    dropped = stored(dropped.select(_ROW), "dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, _ROW, "left_anti").drop(_ROW)
+def _without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    dropped = stored(dropped.select(row), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, row, "left_anti").drop(row)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with numbers of their own, and the column that has them."""
+    row = free_name(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the factorization machine, trained on the labelled rows of ``docs``, scores 0.5 or more."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine, keep=True).where("__score < 0.5").drop("__score")
+    score = free_name(docs, "score")
+    return toxicity.score(docs, machine, keep=score).where(F.col(score) < 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates keeps the row of least doc_id."""
-    docs = _numbered(docs)
-    found = jaccard.similar(docs, id_col=_ROW).select(F.col("doc_id").alias(_ROW), "component_id")
-    found = stored(found.join(docs.select(_ROW, "doc_id"), _ROW), "components")
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", _ROW))[_ROW].alias("stays"))
-    return _without(docs, found.join(stays, "component_id").where(F.col(_ROW) != F.col("stays")))
+    docs, row = _numbered(docs)
+    found = jaccard.similar(docs, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    found = stored(found.join(docs.select(row, F.col("doc_id").alias("id")), row), "components")
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("id"), "id", F.col(row).alias("stays"))).alias("least")).select("component_id", "least.stays")
+    return _without(docs, found.join(stays, "component_id").where(F.col(row) != F.col("stays")), row)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window of a benchmark item."""
-    docs = _numbered(docs)
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), id_col=_ROW)
-    return _without(docs, found.where(F.size("spans") > 0).select(F.col("doc_id").alias(_ROW)))
+    docs, row = _numbered(docs)
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), id_col=row)
+    return _without(docs, found.where(F.size("spans") > 0).select(F.col("doc_id").alias(row)), row)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

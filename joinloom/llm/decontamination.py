@@ -1,17 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is split by documents: a shard holds the words of some documents in a row and, for each term, the sorted
-list of its places. It is written to the shared folder and read by as many queries as needed. A phrase
-is found by starting from the list of its rarest term in the shard, shifting places by the term's offset, and keeping
+The index is split by documents: a shard holds the words of some documents in a row and, for each of their terms, the sorted
+list of its places. All terms are posted, so the index depends on the documents alone and serves any test set. It is written to the shared
+folder and read by as many queries as needed. A phrase is found by starting from the list of its rarest term in the shard, shifting places by the term's offset, and keeping
 those that the lists of the other terms, next rarest first, also have at their offsets. Proximity
-matches start from the rarest term in the same way. All phrases of a block are looked up together.
+matches start from the rarest term in the same way: stretches of a few words that hold all words of a window in any order. All phrases of a block are looked up together.
 
-The test set comes to the driver in blocks of at most about ``block_bytes`` of text; the index is read once for each block.
-With one block (the usual case) only terms of the test set are posted, since no other can take part in a match.
+The test set comes to the driver in blocks of at most about ``block_bytes`` of text (an item, at least); the index is read once for each block.
 
 Words: see shared.words_of, "mark". Null text has no words; null ids stay null and repeated rows are documents of their own;
-an item of null text or without words gives no window; a null item id counts as the item ''. Either table may be
-empty. Other columns are left out.
+an item of null text or without words gives no window; a null item id counts as the item ''; repeated items count once. Either table may be
+empty. A text longer than a slice is a shard of its own. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import Words, large_strings, stored, text_slices, word_hashes, words_of
 
-INDEX = "doc_id array<bigint>, first array<bigint>, terms binary, heads binary, places binary"
-_HITS = "doc_id bigint, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
+INDEX = "doc_id array<bigint>, first array<bigint>, terms binary, sizes binary, steps binary"
+_HITS = "doc_id bigint, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>, near_items array<string>"
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
@@ -51,21 +50,32 @@ class Shard:
         at = np.searchsorted(self.keys, key)
         return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == key) if len(self.keys) else np.zeros(len(key), bool)
 
+    def after(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first place of each term from the given one on; far beyond all if there is none."""
+        if not len(self.keys):
+            return np.full(len(term), _FAR)
+        at = np.searchsorted(self.keys, (term << 32) | place)
+        key = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return np.where((at < len(self.keys)) & (key >> 32 == term), key & 0xFFFFFFFF, _FAR)
+
+    def _from_rarest(self, windows: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The terms of windows, their columns from the rarest on, and each (window, place) of a rarest term."""
+        term = self.find(windows)
+        count = np.where(used, self.sizes[term], np.iinfo(np.int64).max)
+        order = np.argsort(count, axis=1, kind="stable")
+        live = np.flatnonzero(count.min(axis=1) > 0)
+        rarest = term[live, order[live, 0]]
+        lists = self.sizes[rarest]
+        inside = np.arange(int(lists.sum())) - np.repeat(np.cumsum(lists) - lists, lists)
+        return term, order, np.repeat(live, lists), self.places[np.repeat(self.heads[rarest], lists) + inside]
+
     def phrases(self, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, place) of each occurrence of windows[i, :sizes[i]] within one document."""
         n, most = windows.shape if windows.size else (0, 0)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        term = self.find(windows)
-        used = np.arange(most) < sizes[:, None]
-        count = np.where(used, self.sizes[term], np.iinfo(np.int64).max)
-        order = np.argsort(count, axis=1, kind="stable")
-        live = np.flatnonzero(count.min(axis=1) > 0)
-        rarest = order[live, 0]
-        lists = self.sizes[term[live, rarest]]
-        window = np.repeat(live, lists)
-        inside = np.arange(len(window)) - np.repeat(np.cumsum(lists) - lists, lists)
-        place = self.places[np.repeat(self.heads[term[live, rarest]], lists) + inside] - np.repeat(rarest, lists)
+        term, order, window, place = self._from_rarest(windows, np.arange(most) < sizes[:, None])
+        place = place - order[window, 0]
         keep = place >= 0
         window, place = window[keep], place[keep]
         doc = np.searchsorted(self.first, place, "right")
@@ -77,57 +87,69 @@ class Shard:
             window, place = window[keep], place[keep]
         return window, place
 
-    def near(self, words: np.ndarray, span: int) -> np.ndarray:
-        """First places of stretches of at most ``span`` words of one document that hold all ``words``: for each place of the rarest
-        term the earliest such stretch around it."""
-        term = self.find(np.unique(words))
-        if not len(term) or (self.sizes[term] == 0).any():
-            return np.zeros(0, np.int64)
-        lists = sorted((self.places[self.heads[t] : self.heads[t] + self.sizes[t]] for t in term), key=len)
-        found = set()
-        for p in lists[0].tolist():
-            d = int(np.searchsorted(self.first, p, "right")) - 1
-            low, high = max(p - span + 1, int(self.first[d])), min(p + span, int(self.first[d + 1]))
-            around = [x[np.searchsorted(x, low) : np.searchsorted(x, high)].tolist() for x in lists[1:]]
-            for begin in sorted({p, *(x for a in around for x in a if x < p)}):
-                if begin > p - span and all(any(begin <= x < begin + span for x in a) for a in around):
-                    found.add(begin)
-                    break
-        return np.array(sorted(found), np.int64)
-
-
-def post(texts: pa.Array, wanted: np.ndarray | None = None) -> Shard:
-    """The index of some texts; ``wanted``: sorted hashes of the terms to post (None: all)."""
+    def near(self, windows: np.ndarray, sizes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, begin) of stretches of at most ``span`` words of one document that hold all words of windows[i, :sizes[i]] in any order: for each
+        place of the rarest term the earliest such stretch around it, from its first word of the window on."""
+        n, most = windows.shape if windows.size else (0, 0)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        term, order, window, place = self._from_rarest(windows, np.arange(most) < sizes[:, None])
+        doc = np.searchsorted(self.first, place, "right")
+        low, end = np.maximum(place - span + 1, self.first[doc - 1]), self.first[doc]
+        for rank in range(1, most):  # each word somewhere around
+            k = order[window, rank]
+            keep = (k >= sizes[window]) | (self.after(term[window, k], low) < np.minimum(place + span, end))
+            window, place, low, end = window[keep], place[keep], low[keep], end[keep]
+        begin = np.full(len(window), _FAR)
+        for _ in range(span):  # a stretch from low on, then from one word later on
+            open_ = np.flatnonzero((begin == _FAR) & (low <= place))
+            first, last = np.full(len(open_), _FAR), np.zeros(len(open_), np.int64)
+            for k in range(most):
+                at = np.where(k < sizes[window[open_]], self.after(term[window[open_], k], low[open_]), -1)
+                first = np.where(at >= 0, np.minimum(first, at), first)
+                last = np.maximum(last, at)
+            met = last < np.minimum(low[open_] + span, end[open_])
+            begin[open_[met]] = first[met]
+            low = low + 1
+        return window[begin < _FAR], begin[begin < _FAR]
+
+
+_FAR = 1 << 32
+
+
+def post(texts: pa.Array) -> Shard:
+    """The index of some texts."""
     w = Words(texts, "mark")
-    places = np.arange(len(w.hashes))
-    if wanted is not None:
-        at = np.minimum(np.searchsorted(wanted, w.hashes), max(0, len(wanted) - 1))
-        places = places[wanted[at] == w.hashes] if len(wanted) else places[:0]
-    hashes = w.hashes[places]
-    order = np.argsort(hashes, kind="stable")
-    terms, heads = np.unique(hashes[order], return_index=True)
-    return Shard(terms, heads.astype(np.int64), places[order].astype(np.int64), w.first.astype(np.int64))
+    places = np.argsort(w.hashes, kind="stable")
+    terms, heads = np.unique(w.hashes[places], return_index=True)
+    return Shard(terms, heads.astype(np.int64), places.astype(np.int64), w.first.astype(np.int64))
 
 
-def build_index(docs: DataFrame, wanted: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stored shards of the index, a row each."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), large_strings(b.column(1))
             for a, z in text_slices(texts):
-                s = post(texts.slice(a, z - a), wanted)
-                row = {"doc_id": [ids.slice(a, z - a).to_pylist()], "first": [s.first.tolist()], "terms": [s.terms.astype("<u8").tobytes()], "heads": [s.heads.astype("<i8").tobytes()], "places": [s.places.astype("<u4").tobytes()]}
+                s = post(texts.slice(a, z - a))
+                steps = np.diff(s.places, prepend=0)
+                steps[s.heads] = s.places[s.heads]
+                row = {"doc_id": [ids.slice(a, z - a).to_pylist()], "first": [s.first.tolist()], "terms": [s.terms.astype("<u8").tobytes()], "sizes": [s.sizes[:-1].astype("<u4").tobytes()], "steps": [steps.astype("<u4").tobytes()]}
                 yield pa.RecordBatch.from_pydict(row, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("terms", "heads", "places"))])
+    schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("terms", "sizes", "steps"))])
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return stored(rows.mapInArrow(shards, INDEX), "index")
 
 
 def _shard(b: pa.RecordBatch, i: int) -> tuple[list, Shard]:
-    terms, heads, places = (np.frombuffer(b.column(n)[i].as_py(), t) for n, t in (("terms", "<u8"), ("heads", "<i8"), ("places", "<u4")))
-    return b.column("doc_id")[i].as_py(), Shard(terms, heads, places.astype(np.int64), np.array(b.column("first")[i].as_py(), np.int64))
+    """A row of the index; each term's list is kept as steps from place to place."""
+    terms, sizes, steps = (np.frombuffer(b.column(n)[i].as_py(), t) for n, t in (("terms", "<u8"), ("sizes", "<u4"), ("steps", "<u4")))
+    heads = np.cumsum(sizes, dtype=np.int64) - sizes
+    sums = np.cumsum(steps, dtype=np.int64)
+    before = sums[heads] - steps[heads]
+    return b.column("doc_id")[i].as_py(), Shard(terms, heads, sums - np.repeat(before, sizes), np.array(b.column("first")[i].as_py(), np.int64))
 
 
 class Block:
@@ -145,17 +167,16 @@ class Block:
         self.windows = np.zeros((len(distinct), size), np.uint64)
         self.windows[np.arange(size) < self.sizes[:, None]] = flat
         self.items = [sorted(owners[w]) for w in distinct]
-        self.terms = np.unique(flat)
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, spans, items``: of each row the stretches of words (merged, [begin, end)) that occurrences of test windows cover,
-    and the ids of the items with such a window, sorted as strings."""
-    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, near: int = 0, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, spans, items, near_items``: of each row the stretches of words (merged, [begin, end)) that occurrences of test windows cover,
+    the ids of the items with such a window, sorted as strings, and those of the items with a window all of whose words
+    stand within ``near`` words in any order (0: not looked for)."""
+    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).distinct()
     blocks = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // block_bytes
     part = lambda b: Block([(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()], size)  # noqa: E731  block_bytes at most
-    only = part(0) if blocks == 1 else None
-    index = build_index(docs, only.terms if only else None, id_col, text_col)
+    index = build_index(docs, id_col, text_col)
     spark = docs.sparkSession
 
     def look_up(block: Block) -> DataFrame:
@@ -164,25 +185,25 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    yield _hits(*_shard(b, i), sent.value)
+                    yield _hits(*_shard(b, i), sent.value, near)
 
         return index.mapInArrow(hits, _HITS)
 
-    if only:
-        return look_up(only)
+    if blocks == 1:
+        return look_up(part(0))
     found = None
     for b in range(blocks):
         hits = look_up(part(b)).withColumn("row", F.monotonically_increasing_id())
         found = hits if found is None else found.unionByName(hits)
     # The same row has the same number in each pass over the stored index.
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    both = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    both = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("spans"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")))
     merged = F.expr("""aggregate(spans, cast(array() as array<struct<begin:bigint,end:bigint>>), (a, s) -> if(size(a) > 0 and s.begin <= element_at(a, -1).end,
         concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(s))))""")
-    return both.select("doc_id", "n_words", merged.alias("spans"), "items")
+    return both.select("doc_id", "n_words", merged.alias("spans"), "items", "near_items")
 
 
-def _hits(ids: list, shard: Shard, block: Block) -> pa.RecordBatch:
+def _hits(ids: list, shard: Shard, block: Block, near: int) -> pa.RecordBatch:
     first = shard.first
     window, place = shard.phrases(block.windows, block.sizes)
     steps = np.zeros(int(first[-1]) + 1, np.int64)
@@ -200,22 +221,25 @@ def _hits(ids: list, shard: Shard, block: Block) -> pa.RecordBatch:
             if stop > b:
                 spans[d].append({"begin": b - int(first[d]), "end": stop - int(first[d])})
             b, d = stop, d + 1
-    doc = np.searchsorted(first, place, "right") - 1
-    for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
-        items[d].update(block.items[w])
-    columns = [pa.array(ids, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items"])
+    near_items: list[set] = [set() for _ in ids]
+    for found, (window, place) in ((items, (window, place)), (near_items, shard.near(block.windows, block.sizes, near) if near else (window[:0], place[:0]))):
+        doc = np.searchsorted(first, place, "right") - 1
+        for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+            found[d].update(block.items[w])
+    columns = [pa.array(ids, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(spans, _SPANS), *(pa.array([sorted(x) for x in found], pa.list_(pa.string())) for found in (items, near_items))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items", "near_items"])
 
 
 def proximity(index: DataFrame, words: list[str], span: int) -> DataFrame:
-    """``doc_id, begin``: stretches of at most ``span`` words that hold all the given words (lower case), see Shard.near."""
-    hashes = word_hashes(words)
+    """``doc_id, begin``: stretches of at most ``span`` words that hold all the given words (lower case), see Shard.near; none for no words."""
+    hashes = np.unique(word_hashes(words))[None, :]
+    sizes = np.array([hashes.size])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 ids, shard = _shard(b, i)
-                begins = shard.near(hashes, span)
+                begins = np.unique(shard.near(hashes, sizes, span)[1])
                 doc = np.searchsorted(shard.first, begins, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc], pa.int64()), pa.array(begins - shard.first[doc], pa.int64())], names=["doc_id", "begin"])
 

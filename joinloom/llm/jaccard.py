@@ -13,7 +13,9 @@ enumerates the pairs within a group:
    reach t times the query's size. Only groups that pass are opened and compared member by member.
 4. Links of 1 and 3 give the components. A pair left out lies within one component of step 1 already.
 
-Sets are of 64-bit hashes; texts are hashed anew in each step rather than kept. Null and empty texts have no shingles and link with nothing; with fewer than
+Sets are of 64-bit hashes; texts are hashed anew in each step rather than kept, and for 1 and 3 only those that are compared. A set travels to each leader
+or group it is compared with; rows arrive sorted, so a task holds one leader's set or one group's at a time, and leaders and groups that
+more than ``BLOCK`` classes are compared with are split. Null and empty texts have no shingles and link with nothing; with fewer than
 ``size`` words the whole sequence is the one shingle. A row of null id takes part, and a component's id is its least id that isn't null.
 Repeated rows are of one class. Empty tables give empty results; other columns are left out.
 """
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Words, large_strings, mix, runs, stored, text_slices, width
+from .shared import U64, Words, forget, large_strings, mix, runs, stored, text_slices, width
 
 KEYS, ALIKE, LEADERS, GROUP = 8, 5, 5, 64
 #: Elements of more classes than COMMON come last in the order, the most frequent MOST_COMMON of them (a bound on what is sent round).
 COMMON, MOST_COMMON = 3, 1 << 20
-#: About how many queries and members a task compares.
+#: Classes compared with one leader or group before it is split.
 BLOCK = 1024
+#: Elements of texts that one bucket of the count and of the matrix takes, and that a task gathers before it sends them.
+BUCKET, GATHERED = 8_000_000, 8_000_000
 #: Rows of two numbers up to which a side is broadcast.
 FEW = 500_000
 _C = mix(np.arange(100, 132, dtype=np.uint64)) | U64(1)
@@ -75,21 +79,35 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, size: int, rows: Callable, schema: str) -> DataFrame:
-    """mapInArrow over shingle sets: rows(doc_ids, sets) gives columns, once for each slice of a batch."""
+    """mapInArrow over shingle sets: rows(slices) makes tuples of columns from a task's slices (doc_ids, sets)."""
     names = [f.split()[0] for f in schema.split(", ")]
     types = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     kinds = [types[f.split()[1]] for f in schema.split(", ")]
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         for b in batches:
             ids, texts = b.column(0), large_strings(b.column(1))
             for a, z in text_slices(texts, 1 << 22):
-                for columns in rows(ids.slice(a, z - a).to_pylist(), list(shingle_sets(texts.slice(a, z - a), size))):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                yield ids.slice(a, z - a).to_pylist(), list(shingle_sets(texts.slice(a, z - a), size))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in rows(slices(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return docs.mapInArrow(made, schema)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers below 2^32 in ascending order: their differences by byte planes, compressed."""
+    steps = np.diff(values.astype("<u4"), prepend=np.uint32(0))
+    return pa.compress(steps.view("u1").reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd"), "u1").reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _few(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it has few rows of a few numbers; the caller has stored it."""
     return F.broadcast(df) if df.count() <= FEW else df
@@ -105,85 +123,117 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("on"))
         new = stored(least.join(jump, "to").select("node", F.least("to", "on").alias("component"), "was"), "labels")
         changed = not new.where("component != was").isEmpty()
+        forget(labels)
         labels = new.drop("was")
         if not changed:
+            forget(both)
             return labels
 
 
-def _opened(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Links of queries with members of the groups they ask for: only groups whose union passes the bound are opened."""
+def _salted(asks: DataFrame) -> DataFrame:
+    """``class, key, salt``: keys of more than BLOCK classes are split by class."""
+    many = stored(asks.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("salts")).where("salts > 1"), "many")
+    return asks.join(_few(many), "key", "left").withColumn("salt", F.pmod(F.xxhash64("class"), F.coalesce("salts", F.lit(1).cast("bigint")))).drop("salts")
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            yield from zip(*(b.column(c).slice(i, 256).to_pylist() for c in names), strict=True)
+
+
+def _edges(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    found = list(found)
+    a, b = zip(*found, strict=True) if found else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
-    def opened(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int]] = []
-        lead: dict[int, int] = {}
+def _near_leader(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of classes with the leader they ask; the leader's row comes before theirs."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        led = np.zeros(0, np.uint64)
+        for key, asks, name, raw in _rows(batches, "key", "asks", "class", "shingles"):
+            s = np.frombuffer(raw, "<u8")
+            if not asks:
+                led = s
+            elif linked(s, led, percent):
+                yield name, key
+
+    return lambda batches: _edges(found(batches))
+
+
+def _opened(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of queries with members of the groups they ask, whose rows come first: only groups whose union passes the bound are opened."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        at, inside, union, lead = None, {}, None, {}
 
         def find(x: int) -> int:
             while lead.setdefault(x, x) != x:
                 lead[x] = x = lead[lead[x]]
             return x
 
-        inside: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
-        for name, grp, component, raw in zip(*(right[c].to_pylist() for c in ("class", "grp", "component", "shingles")), strict=True):
-            inside.setdefault(grp, {})[name] = component, np.frombuffer(raw, "<u8")
-        unions = {g: np.unique(np.concatenate([s for _, s in x.values()])) for g, x in inside.items()}
-        for q, grps, raw in zip(*(left[c].to_pylist() for c in ("of", "grps", "asked")), strict=True):
+        for key, salt, asks, name, component, raw in _rows(batches, "key", "salt", "asks", "class", "component", "shingles"):
+            if at != (key, salt):
+                at, inside, union = (key, salt), {}, None
+                lead.clear()
             s = np.frombuffer(raw, "<u8")
-            for g in grps:
-                union = unions[g]
-                at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-                if 100 * int((union[at] == s).sum()) >= percent * len(s):
-                    # What earlier links have joined needs no other link.
-                    for name, (component, other) in inside[g].items():
-                        if find(component) != find(q) and linked(s, other, percent):
-                            lead[find(component)] = find(q)
-                            out.append((q, name))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return opened
+            if not asks:
+                inside[name] = component, s
+                continue
+            if union is None:
+                union = np.unique(np.concatenate([x for _, x in inside.values()]))
+            place = np.minimum(np.searchsorted(union, s), len(union) - 1)
+            if 100 * int((union[place] == s).sum()) >= percent * len(s):
+                # What earlier links have joined needs no other link.
+                for other, (component, x) in inside.items():
+                    if find(component) != find(name) and linked(s, x, percent):
+                        lead[find(component)] = find(name)
+                        yield name, other
+
+    return lambda batches: _edges(found(batches))
 
 
 def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row. Components only: links that they don't need are skipped; links() gives all."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def signed(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
+    def signed(slices: Iterator) -> Iterator[tuple]:
         salts = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
-        keys = [[] if not len(s) else [int(mix(s ^ x).min().view(np.int64)) for x in salts] for s in sets]
-        yield ids, [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], keys
+        for ids, sets in slices:
+            keys = [[] if not len(s) else [int(mix(s ^ x).min().view(np.int64)) for x in salts] for s in sets]
+            yield ids, [len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], keys
 
     rows = stored(_sets(docs, size, signed, "doc_id bigint, n bigint, class bigint, keys array<bigint>"), "classes")
+    distinct = stored(rows.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("least")), "distinct")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """``class, shingles`` of the classes in ``wanted``, from the row of least id of each (and rows that repeat it, unless in one slice)."""
+    def sent(to: DataFrame) -> DataFrame:
+        """The sets of classes where ``to`` (class, key, salt, asks and more) sends them, by key and salt, those that don't ask first."""
 
-        def shingles(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
-            kept = {(class_of(s), i): s for i, s in zip(ids, sets, strict=True) if len(s)}
-            yield [c for c, _ in kept], [i for _, i in kept], [s.astype("<u8").tobytes() for s in kept.values()]
+        def shingles(slices: Iterator) -> Iterator[tuple]:
+            seen: set[int] = set()  # repeated rows go once from each task
+            for _, sets in slices:
+                new = {c: s for s in sets if len(s) and (c := class_of(s)) not in seen}
+                seen |= new.keys()
+                yield list(new), [s.astype("<u8").tobytes() for s in new.values()]
 
-        least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-        wanted = _few(stored(wanted.distinct().join(least, "class"), "wanted"))
-        found = _sets(docs, size, shingles, "class bigint, doc_id bigint, shingles binary").join(wanted, "class")
-        return stored(found.where(F.col("doc_id").eqNullSafe(F.col("least"))).select("class", "shingles"), "sets")
+        to = stored(to, "to")
+        ids = _few(stored(to.select("class").distinct().join(distinct, "class").select(F.col("least").alias("wanted")).distinct(), "wanted"))
+        texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+        found = _sets(texts, size, shingles, "class bigint, shingles binary").join(_few(to), "class")
+        return found.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks")
 
     # 1. Leaders.
-    distinct = rows.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     keyed = distinct.select("class", F.posexplode("keys").alias("k", "key")).where(F.col("k") < LEADERS)
     led = keyed.groupBy("k", "key").agg(F.min_by("class", F.xxhash64("class", "k")).alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
     pairs = keyed.join(led, ["k", "key"]).where("class != leader").select("class", "leader").distinct()
-    pairs = pairs.join(distinct, "class").join(distinct.toDF("leader", "m", "led"), "leader")
+    pairs = pairs.join(distinct, "class").join(distinct.select(F.col("class").alias("leader"), F.col("n").alias("m"), F.col("keys").alias("led")), "leader")
     agree = F.size(F.filter(F.zip_with("keys", "led", lambda x, y: x == y), lambda x: x))
-    pairs = stored(pairs.where((agree >= ALIKE) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("class", "leader"), "pairs")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(c).to_pylist() for c in ("shingles", "led_by"))
-            keep = pa.array([linked(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield b.select(["class", "leader"]).filter(keep).rename_columns(["a", "b"])
-
-    sets = sets_of(pairs.select("class").union(pairs.select("leader")))
-    led_by = sets.select(F.col("class").alias("leader"), F.col("shingles").alias("led_by"))
-    stars = stored(sets.join(pairs, "class").join(led_by, "leader").select("class", "leader", "shingles", "led_by").mapInArrow(same, "a bigint, b bigint"), "stars")
+    pairs = stored(pairs.where((agree >= ALIKE) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("class", F.col("leader").alias("key")), "pairs")
+    asking = _salted(pairs).withColumn("asks", F.lit(1))
+    leaders = asking.select(F.col("key").alias("class"), "key", "salt").distinct().withColumn("asks", F.lit(0))
+    stars = stored(sent(asking.unionByName(leaders)).mapInArrow(_near_leader(percent), "a bigint, b bigint"), "stars")
     parts = components(stars)
     # 2. Groups, and the matrix.
     sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
@@ -194,58 +244,77 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     alike = single.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     group = F.xxhash64("component", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / GROUP)), F.lit("mixed"))
     groups = stored(pure.unionByName(single.join(alike, "component").select("class", "component", "members", group.alias("grp"), F.lit(1).alias("mixed"))), "groups")
-    buckets = width(docs, 8)
+    # Buckets grow with the input, so that one fits in a task.
+    buckets = max(width(docs, 8), (distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 0) // BUCKET)
     # Elements by their highest bits, more of them where there is more to tell apart: a bucket and 32 bits.
     bits = 32 + buckets.bit_length() - 1
-    short = lambda values: values >> U64(64 - bits)
+    short = lambda values, lost=0: values >> U64(64 - bits + lost)
 
     def dealt(values: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
-        """Short values by bucket, and what belongs to them, as bytes."""
+        """Short values by bucket, and what belongs to them."""
         to = (values % U64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         rest = (values // U64(buckets)).astype("<u4")
         heads = runs(to[order])
         for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
             at = order[a:z]
-            yield int(to[at[0]]), *(np.ascontiguousarray(x[at]).tobytes() for x in (rest, *more))
-
-    def all_of(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
-        kept = {class_of(s): s for s in sets if len(s)}
+            yield int(to[at[0]]), *(np.ascontiguousarray(x[at]) for x in (rest, *more))
+
+    # Counts only order the elements, so elements that share their first bits may count as one: 8 bits fewer than in the matrix.
+    def all_of(slices: Iterator) -> Iterator[tuple]:
+        kept: dict[int, np.ndarray] = {}
+        n = 0
+
+        def told() -> Iterator[tuple]:
+            values = np.sort(np.concatenate(list(kept.values())))
+            yield tuple(zip(*((k, len(v), packed(v)) for k, v in dealt(short(values, 8))), strict=True))
+
+        for _, sets in slices:
+            for s in sets:
+                if len(s) and (c := class_of(s)) not in kept:
+                    kept[c] = s
+                    n += len(s)
+            if n >= GATHERED:
+                yield from told()
+                kept, n = {}, 0
         if kept:
-            yield tuple(zip(*dealt(short(np.concatenate(list(kept.values())))), strict=True))
+            yield from told()
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values: dict[int, list[bytes]] = {}
-        for b in batches:
-            for k, v in zip(b.column("bucket").to_pylist(), b.column("shingles").to_pylist(), strict=True):
-                values.setdefault(k, []).append(v)
-        for k, v in values.items():
-            token, n = np.unique(np.frombuffer(b"".join(v), "<u4"), return_counts=True)
+        values: dict[int, list[np.ndarray]] = {}
+        for k, n, raw in _rows(batches, "bucket", "n", "shingles"):
+            values.setdefault(k, []).append(unpacked(raw, n))
+        for k in list(values):
+            token, n = np.unique(np.concatenate(values.pop(k)), return_counts=True)
             often = n > COMMON
             token = token.astype(np.uint64) * U64(buckets) + U64(k)
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["token", "n"])
 
-    counts = _sets(docs, size, all_of, "bucket bigint, shingles binary").repartition(buckets, "bucket").mapInArrow(frequent, "token bigint, n bigint")
+    counts = _sets(docs, size, all_of, "bucket bigint, n bigint, shingles binary").repartition(buckets, "bucket").mapInArrow(frequent, "token bigint, n bigint")
     common = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()  # a statistic of bounded size
     token = common["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((token[order], common["n"].to_numpy()[order]))
-
-    def rarest(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
-        token, often = sent.value
-        out = {}
-        for s in sets:
-            if len(s) and (c := class_of(s)) not in out:
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, short(s)), len(token) - 1)
-                    n = np.where(token[at] == short(s), often[at], 0)
-                    s = s[np.argsort(n, kind="stable")] if n.any() else s
-                out[c] = len(s), s[: prefix_size(len(s), percent)].tobytes()
-        yield list(out), [n for n, _ in out.values()], [x for _, x in out.values()]
+    sent_counts = spark.sparkContext.broadcast((token[order], common["n"].to_numpy()[order]))
+
+    def rarest(slices: Iterator) -> Iterator[tuple]:
+        token, often = sent_counts.value
+        seen: set[int] = set()
+        for _, sets in slices:
+            out = {}
+            for s in sets:
+                if len(s) and (c := class_of(s)) not in seen:
+                    seen.add(c)
+                    if len(token):
+                        at = np.minimum(np.searchsorted(token, short(s, 8)), len(token) - 1)
+                        n = np.where(token[at] == short(s, 8), often[at], 0)
+                        s = s[np.argsort(n, kind="stable")] if n.any() else s
+                    out[c] = len(s), s[: prefix_size(len(s), percent)].tobytes()
+            yield list(out), [n for n, _ in out.values()], [x for _, x in out.values()]
 
     # Stored between the two Python steps, so that no task runs both at once.
-    firsts = stored(_sets(docs, size, rarest, "class bigint, n bigint, firsts binary"), "firsts", "snappy").join(_few(groups), "class", "left")
+    firsts_stored = stored(_sets(docs, size, rarest, "class bigint, n bigint, firsts binary"), "firsts", "snappy")
+    firsts = firsts_stored.join(_few(groups), "class", "left")
     firsts = firsts.select("class", "n", "firsts", F.coalesce("component", "class").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("mixed", F.lit(0)).alias("mixed"), F.coalesce("grp", "class").alias("grp"))
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +326,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
                 place = np.concatenate([np.arange(k, dtype="<u4") for k in n])
                 # Most classes are alone: what equals the class becomes zero, which is small once compressed.
                 k, *columns = zip(*dealt(short(np.concatenate(values)), c, p ^ c, (2 * np.log2(m).astype("u1") + mixed).astype("u1"), g ^ c, size.astype("<u4"), place), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "token", "class", "component", "members", "grp", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array([v.tobytes() for v in x], pa.binary()) for x in columns)], names=["bucket", "token", "class", "component", "members", "grp", "n", "place"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[list[bytes]]] = {}
@@ -304,27 +373,17 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
 
     met = firsts.mapInArrow(matrix, "bucket bigint, token binary, class binary, component binary, members binary, grp binary, n binary, place binary").repartition(buckets, "bucket").mapInArrow(candidates, "class bigint, grp bigint")
     met = stored(met.distinct(), "met")
-    # 3. Bounds, and the groups that pass. Groups whose queries are near in the graph of candidates are one family, dealt as blocks of queries and of groups,
-    # so that a set travels once for each block rather than for each pair.
+    forget(firsts_stored)
+    # 3. Bounds, and the groups that pass.
     if met.isEmpty():
         more = None
     else:
-        first = met.groupBy("grp").agg(F.min("class").alias("first"))
-        second = met.join(first, "grp").groupBy("class").agg(F.min("first").alias("second"))
-        family = stored(met.join(second, "class").groupBy(F.col("grp").alias("node")).agg(F.min("second").alias("family")), "family")
-        asked = met.select("grp").distinct()
-        inside = groups.select("class", "grp", F.when(F.col("mixed") == 1, F.col("class")).otherwise(F.col("component")).alias("component")).join(asked, "grp")
-        inside = inside.unionByName(asked.join(groups.select("grp").distinct(), "grp", "left_anti").select(F.col("grp").alias("class"), "grp", F.col("grp").alias("component")))
-        inside = stored(inside.join(family, inside.grp == family.node).select("class", "grp", "component", "family"), "inside")
-        queries = stored(met.join(family, met.grp == family.node).select("class", "grp", "family"), "queries")
-        blocks = queries.groupBy("family").agg(F.ceil(F.count_distinct("class") / BLOCK).alias("across")).join(inside.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("down")), "family")
-        down, across = F.pmod(F.xxhash64("grp"), F.col("down")).alias("row"), F.pmod(F.xxhash64("class"), F.col("across")).alias("column")
-        sets = sets_of(queries.select("class").union(inside.select("class")))
-        asking = queries.join(blocks, "family").select("family", down, across, "class", "grp").groupBy("family", "row", "column", "class").agg(F.collect_list("grp").alias("grps"))
-        asking = asking.join(sets, "class").toDF("of", "q_family", "q_row", "q_column", "grps", "asked")
-        members = inside.join(blocks, "family").select("family", down, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("across") - 1)).alias("column"), "class", "grp", "component").join(sets, "class")
-        more = asking.groupBy("q_family", "q_row", "q_column").cogroup(members.groupBy("family", "row", "column")).applyInArrow(_opened(percent), "a bigint, b bigint")
-        more = stored(more, "links")
+        asking = _salted(met.withColumnRenamed("grp", "key")).withColumns({"asks": F.lit(1), "component": F.lit(None).cast("bigint")})
+        asked = stored(asking.select("key", "salt").distinct(), "asked")
+        inside = groups.select("class", F.col("grp").alias("key"), F.when(F.col("mixed") == 1, F.col("class")).otherwise(F.col("component")).alias("component")).join(asked, "key")
+        alone = asked.join(groups.select(F.col("grp").alias("key")).distinct(), "key", "left_anti").select(F.col("key").alias("class"), "key", F.col("key").alias("component"), "salt")
+        inside = inside.unionByName(alone).withColumn("asks", F.lit(0))
+        more = stored(sent(asking.unionByName(inside)).mapInArrow(_opened(percent), "a bigint, b bigint"), "links")
     # 4. Components of all links.
     final = parts if more is None or more.isEmpty() else components(stars.unionByName(more))
     of = rows.join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -340,9 +399,10 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def whole(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
-        kept = [(i, class_of(s), s.view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
-        yield [i for i, _, _ in kept], [c for _, c, _ in kept], [s for _, _, s in kept]
+    def whole(slices: Iterator) -> Iterator[tuple]:
+        for ids, sets in slices:
+            kept = [(i, class_of(s), s.view(np.int64)) for i, s in zip(ids, sets, strict=True) if len(s)]
+            yield [i for i, _, _ in kept], [c for _, c, _ in kept], [s for _, _, s in kept]
 
     rows = _sets(docs, size, whole, "doc_id bigint, class bigint, shingles array<bigint>")
     classes = stored(rows.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("shingles").alias("s")).withColumn("n", F.size("s").cast("bigint")), "all")

@@ -62,6 +62,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name = f"_{name}"
+    return f"__{name}"
+
+
 def crc_of_id(doc_id: str | None = "doc_id"):
     """crc32 of the id written as text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

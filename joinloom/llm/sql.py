@@ -33,9 +33,17 @@ s AS (SELECT DISTINCT size FROM p),
 g AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM d, s WHERE len(w) >= size),
 m AS (SELECT g.doc_id, g.pos, g.size, p.item_id FROM g JOIN p ON p.size = g.size AND p.phrase = array_to_string(list_slice(g.w, g.pos, g.pos + g.size - 1), ' ')),
 h AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS i FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id""",
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+c AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+v AS (SELECT DISTINCT item_id, list_sort(list_distinct(string_split(phrase, ' '))) AS words FROM p),
+x AS (SELECT words, arg_min(word, coalesce(n, 0)) AS rarest FROM (SELECT DISTINCT words, unnest(words) AS word FROM v) LEFT JOIN c USING (word) GROUP BY words HAVING count(n) = count(*)),
+y AS (SELECT t.doc_id, words, list_slice(w, greatest(pos - 19, 1), pos + 19) AS around, least(pos, 20) AS before FROM x JOIN t ON t.word = rarest JOIN d ON d.doc_id = t.doc_id),
+z AS (SELECT DISTINCT doc_id, words FROM y WHERE list_has_all(around, words) AND len(list_filter(range(1, before + 1), lambda s: list_has_all(list_slice(around, s, s + 19), words))) > 0),
+e AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM z JOIN v USING (words)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+  coalesce(n_near, 0) AS n_near, sha256(coalesce(e.items, '')) AS near_sha256
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id""",
     "op4_ngram_jaccard": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
