@@ -98,23 +98,12 @@ def fold_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_fold(Fold((o, o), _dims("i j"), ("i",)), [lq, lq])
 
 
-@_query(f"WITH {LQ}, {PM} SELECT l.i, sum(l.v * p.v) AS v FROM lq l JOIN (SELECT v, nullif(j % 7, 0) AS j FROM pm WHERE j % 7 < 2) p ON nullif(l.j % 7, 0) IS NOT DISTINCT FROM p.j GROUP BY l.i")
+@_query(f"WITH {LQ}, {PM} SELECT l.i, sum(l.v * p.v) AS v FROM lq l JOIN (SELECT v, nullif(j % 7, 0) AS j FROM pm) p ON nullif(l.j % 7, 0) IS NOT DISTINCT FROM p.j GROUP BY l.i")
 def fold_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T(spark, sf_dir)
     key = F.nullif(F.col("j") % 7, F.lit(0)).alias("j")
     # Sums by key before the join: few keys, many rows.
     fold = Fold((Operand({"i": "i", "j": "j"}, "v"), Operand({"j": "j"}, "v")), _dims("i j", "j"), ("i",))
-    left = t.lq.groupBy("i", key).agg(F.sum("v").alias("v"))
-    right = t.pm.where(F.col("j") % 7 < 2).groupBy(key).agg(F.sum("v").alias("v"))
-    return run_fold(fold, [left, right])
-
-
-@_query(f"WITH {LQ}, {PM} SELECT l.i, sum(l.v * p.v) AS v FROM lq l JOIN (SELECT v, nullif(j % 7, 0) AS j FROM pm) p ON nullif(l.j % 7, 0) IS NOT DISTINCT FROM p.j GROUP BY l.i")
-def fold_null_safe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fold_null_safe over all parts."""
-    t = T(spark, sf_dir)
-    key = F.nullif(F.col("j") % 7, F.lit(0)).alias("j")
-    fold = Fold((Operand({"i": "i", "j": "j"}, "v"), Operand({"j": "j"}, "v")), _dims("i j", "j"), ("i",))
     left, right = t.lq.groupBy("i", key).agg(F.sum("v").alias("v")), t.pm.groupBy(key).agg(F.sum("v").alias("v"))
     return run_fold(fold, [left, right])
 
@@ -163,54 +152,7 @@ _masked("fold_mask_between", "r.t BETWEEN l.t - 8 AND l.t + 24", Condition("b",
 _masked("fold_mask_offset", "l.t < r.t + 8", Condition("a", "<", "b", 8))
 
 _PRODUCT = Fold((Operand({"i": "i", "j": "j"}, "v"), Operand({"j": "j"}, "v")), _dims("i j"), ("i",))
-_COSTLY = "f AS (SELECT i, sum(lq.v * p.v) AS v FROM lq JOIN (SELECT * FROM pm WHERE v > 49) p ON lq.j = p.j WHERE lq.v > 49 GROUP BY i)"
-
-
-def _domain(spark: SparkSession, sf_dir: str, missing: float | None) -> DataFrame:
-    """Suppliers and the product of their large quantities with large parts; some have none."""
-    t = T(spark, sf_dir)
-    fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "s_suppkey"}, ("s_suppkey", "s_name"), missing))
-    return run_fold(fold, [t.lq.where("v > 49"), t.pm.where("v > 49")], domain=t.supplier)
-
-
-@_query(f"WITH {LQ}, {PM}, {_COSTLY} SELECT s_suppkey, s_name, f.v FROM supplier LEFT JOIN f ON s_suppkey = f.i")
-def fold_domain_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _domain(spark, sf_dir, None)
-
-
-@_query(f"WITH {LQ}, {PM}, {_COSTLY} SELECT s_suppkey, s_name, coalesce(f.v, 0) AS v FROM supplier LEFT JOIN f ON s_suppkey = f.i")
-def fold_domain_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _domain(spark, sf_dir, 0.0)
-
-
-@_query(f"WITH {LQ}, {PM}, {_COSTLY} SELECT s_suppkey, s_name, CASE WHEN f.v IS NULL THEN -1 ELSE f.v END AS v FROM supplier LEFT JOIN f ON s_suppkey = f.i")
-def fold_domain_case_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _domain(spark, sf_dir, -1.0)
-
-
-@_query(f"WITH {LQ}, {PM}, {_COSTLY}, g AS (SELECT d.s_suppkey AS i, sum(f.v) AS v FROM supplier d JOIN f ON d.s_suppkey = f.i GROUP BY d.s_suppkey) SELECT s_suppkey, s_name, coalesce(g.v, 0) AS v FROM supplier LEFT JOIN g ON s_suppkey = g.i")
-def fold_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T(spark, sf_dir)
-    fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "s_suppkey"}, ("s_suppkey", "s_name"), 0.0))
-    return join_back(fold, [t.lq.where("v > 49"), t.pm.where("v > 49")], t.supplier)
-
-
-@_query(f"WITH {LQ}, {PM}, {_COSTLY}, g AS (SELECT d.l_suppkey AS i, sum(f.v) AS v FROM lineitem d JOIN f ON d.l_suppkey = f.i GROUP BY d.l_suppkey) SELECT l_orderkey, l_linenumber, coalesce(g.v, 0) AS v FROM lineitem LEFT JOIN g ON l_suppkey = g.i")
-def fold_join_back_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T(spark, sf_dir)
-    fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "l_suppkey"}, ("l_orderkey", "l_linenumber"), 0.0))
-    return join_back(fold, [t.lq.where("v > 49"), t.pm.where("v > 49")], t.lineitem)
-
-
-@_query(f"WITH {LQ}, {PM}, {_COSTLY} SELECT s_suppkey, CASE WHEN s_acctbal < 1000 THEN NULL ELSE coalesce(f.v, 0) END AS v FROM supplier LEFT JOIN f ON s_suppkey = f.i")
-def fold_null_when(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T(spark, sf_dir)
-    fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "s_suppkey"}, ("s_suppkey", "s_acctbal"), 0.0))
-    out = run_fold(fold, [t.lq.where("v > 49"), t.pm.where("v > 49")], domain=t.supplier)
-    return out.select("s_suppkey", F.when(F.col("s_acctbal") < 1000, None).otherwise(F.col("v")).alias("v"))
-
-
-#: The same six over whole tables. Each domain has, beside its own rows, a copy of them under keys that no fact has: -1 - key.
+#: Domains of which some rows have no sum: beside its own rows, each has a copy of them under keys that no fact has, -1 - key.
 _ALL = "f AS (SELECT i, sum(lq.v * pm.v) AS v FROM lq JOIN pm ON lq.j = pm.j GROUP BY i)"
 _SUPPLIERS = "s AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT -1 - s_suppkey, s_name, s_acctbal FROM supplier)"
 _LINES = "s AS (SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT -1 - l_suppkey, l_orderkey, l_linenumber FROM lineitem)"
@@ -220,44 +162,44 @@ def _with_unknown(domain: DataFrame, key: str, *columns: str) -> DataFrame:
     return domain.select(key, *columns).union(domain.select((F.lit(-1) - F.col(key)).alias(key), *columns))
 
 
-def _whole(spark: SparkSession, sf_dir: str, missing: float | None, *columns: str) -> DataFrame:
+def _domain(spark: SparkSession, sf_dir: str, missing: float | None, *columns: str) -> DataFrame:
     t = T(spark, sf_dir)
     fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "s_suppkey"}, ("s_suppkey", *columns), missing))
     return run_fold(fold, [t.lq, t.pm], domain=_with_unknown(t.supplier, "s_suppkey", *columns))
 
 
 @_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, s_name, f.v FROM s LEFT JOIN f ON s_suppkey = f.i")
-def fold_domain_left_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(spark, sf_dir, None, "s_name")
+def fold_domain_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _domain(spark, sf_dir, None, "s_name")
 
 
 @_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, s_name, coalesce(f.v, 0) AS v FROM s LEFT JOIN f ON s_suppkey = f.i")
-def fold_domain_coalesce_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(spark, sf_dir, 0.0, "s_name")
+def fold_domain_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _domain(spark, sf_dir, 0.0, "s_name")
 
 
 @_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, s_name, CASE WHEN f.v IS NULL THEN -1 ELSE f.v END AS v FROM s LEFT JOIN f ON s_suppkey = f.i")
-def fold_domain_case_fill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(spark, sf_dir, -1.0, "s_name")
+def fold_domain_case_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _domain(spark, sf_dir, -1.0, "s_name")
 
 
 @_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS}, g AS (SELECT s.s_suppkey AS i, sum(f.v) AS v FROM s JOIN f ON s.s_suppkey = f.i GROUP BY s.s_suppkey) SELECT s_suppkey, s_name, coalesce(g.v, 0) AS v FROM s LEFT JOIN g ON s_suppkey = g.i")
-def fold_join_back_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fold_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T(spark, sf_dir)
     fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "s_suppkey"}, ("s_suppkey", "s_name"), 0.0))
     return join_back(fold, [t.lq, t.pm], _with_unknown(t.supplier, "s_suppkey", "s_name"))
 
 
 @_query(f"WITH {LQ}, {PM}, {_ALL}, {_LINES}, g AS (SELECT s.l_suppkey AS i, sum(f.v) AS v FROM s JOIN f ON s.l_suppkey = f.i GROUP BY s.l_suppkey) SELECT l_orderkey, l_linenumber, coalesce(g.v, 0) AS v FROM s LEFT JOIN g ON l_suppkey = g.i")
-def fold_join_back_duplicates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fold_join_back_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T(spark, sf_dir)
     fold = Fold(_PRODUCT.operands, _PRODUCT.dimensions, ("i",), domain=Domain({"i": "l_suppkey"}, ("l_orderkey", "l_linenumber"), 0.0))
     return join_back(fold, [t.lq, t.pm], _with_unknown(t.lineitem, "l_suppkey", "l_orderkey", "l_linenumber"))
 
 
 @_query(f"WITH {LQ}, {PM}, {_ALL}, {_SUPPLIERS} SELECT s_suppkey, CASE WHEN s_acctbal < 1000 THEN NULL ELSE coalesce(f.v, 0) END AS v FROM s LEFT JOIN f ON s_suppkey = f.i")
-def fold_null_when_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _whole(spark, sf_dir, 0.0, "s_acctbal")
+def fold_null_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _domain(spark, sf_dir, 0.0, "s_acctbal")
     return out.select("s_suppkey", F.when(F.col("s_acctbal") < 1000, None).otherwise(F.col("v")).alias("v"))
 
 

@@ -23,7 +23,7 @@ def test_null_safe_keys_of_all_parts(spark, folder):
     want = defaultdict(float)
     for _, _, i, j, v in lines:
         want[i] += sum(v * x for k, x in parts.items() if k % 7 == j % 7)
-    assert {r.i: r.v for r in QUERIES["fold_null_safe_whole"](spark, at).collect()} == want
+    assert {r.i: r.v for r in QUERIES["fold_null_safe"](spark, at).collect()} == want
 
 
 def sums(lines, parts):
@@ -33,7 +33,7 @@ def sums(lines, parts):
     return out
 
 
-@pytest.mark.parametrize("name,missing", [("fold_domain_left_whole", None), ("fold_domain_coalesce_whole", 0.0), ("fold_domain_case_fill_whole", -1.0), ("fold_join_back_whole", 0.0)])
+@pytest.mark.parametrize("name,missing", [("fold_domain_left", None), ("fold_domain_coalesce", 0.0), ("fold_domain_case_fill", -1.0), ("fold_join_back", 0.0)])
 def test_domains_of_whole_tables(spark, folder, name, missing):
     """Every line and part counts; suppliers without lines are there."""
     at, lines, parts = folder
@@ -47,10 +47,10 @@ def test_repeated_domain_of_whole_tables(spark, folder):
     for _, _, i, _, _ in lines:
         n[i] += 1
     want = sorted([(o, k, by[i] * n[i]) for o, k, i, _, _ in lines] + [(o, k, 0.0) for o, k, *_ in lines])
-    assert sorted(map(tuple, QUERIES["fold_join_back_duplicates_whole"](spark, at).collect())) == want
+    assert sorted(map(tuple, QUERIES["fold_join_back_duplicates"](spark, at).collect())) == want
 
 
 def test_nulls_over_whole_tables(spark, folder):
     at, lines, parts = folder
     want = {i: v if i else None for i, v in sums(lines, parts).items()} | {-1 - i: 0.0 if i else None for i in range(3)}
-    assert {r.s_suppkey: r.v for r in QUERIES["fold_null_when_whole"](spark, at).collect()} == want
+    assert {r.s_suppkey: r.v for r in QUERIES["fold_null_when"](spark, at).collect()} == want
