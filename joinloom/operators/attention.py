@@ -48,22 +48,22 @@ def shape_of(p: Pipeline) -> Shape | None:
     return Shape(batch, min(kept), min(summed), min(feature) if feature else None, min(own))
 
 
-def _extent(df: DataFrame, keys: dict[str, str], inner: str | None, values: Sequence[str]) -> int | None:
-    """The number of inner keys, if all keys are integers from 0 on, values are finite and moderate, and rows are a multiple of that
-    number: one aggregate without a shuffle."""
+def _extent(df: DataFrame, keys: dict[str, str], row: str, inner: str | None, values: Sequence[str]) -> int | None:
+    """The number of inner keys, if all keys are integers from 0 on, those of rows are dense (the largest is at most 4 times their number and
+    4096), values are finite and moderate, and rows are a multiple of that number: one aggregate without a shuffle."""
     types = dict(df.dtypes)
     if any(types[c] not in _INTEGERS for c in keys.values()) or any(types[c] != "double" for c in values):
         return None
     bad = [F.count_if(~F.coalesce(F.abs(F.col(c)) <= LARGEST, F.lit(False))) for c in values] + [F.count_if(~F.coalesce(F.col(c) >= 0, F.lit(False))) for c in keys.values()]
-    n, top, *wrong = df.agg(F.count("*"), F.max(F.col(keys[inner])) if inner else F.lit(0), *bad).first()
-    return top + 1 if n and not any(wrong) and n % (top + 1) == 0 else None
+    n, top, last, *wrong = df.agg(F.count("*"), F.max(F.col(keys[inner])) if inner else F.lit(0), F.max(F.col(keys[row])), *bad).first()
+    return top + 1 if n and not any(wrong) and n % (top + 1) == 0 and last < 4 * (n // (top + 1)) + 4096 else None
 
 
 def _packed(df: DataFrame, batch: list[str], row: str, inner: str | None, values: list[str], block: int, size: int) -> DataFrame:
     """Tiles: batch keys b<i>, block, ids of rows in order, and a matrix of size columns for each value; no ids and no matrix where a
     row lacks or repeats an inner key."""
     rows = df.select(*(F.col(c).cast("bigint").alias(f"b{i}") for i, c in enumerate(batch)), F.col(row).cast("bigint").alias("id"), (F.col(inner) if inner else F.lit(0)).cast("bigint").alias("at"), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))
-    rows = rows.withColumn("block", F.floor(F.col("id") / block))
+    rows = rows.withColumn("block", F.expr(f"id div {block}"))
     keys = [*(f"b{i}" for i in range(len(batch))), "block"]
     schema = pa.schema([*((k, pa.int64()) for k in keys), ("ids", pa.binary()), ("tile", pa.binary())])
 
@@ -122,8 +122,8 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
     f = p.producer
     (oq, ok), (q, k) = f.operands, frames
     columns = [[oq.factor], [ok.factor]] if f.value is None else [sorted(n for i, n in f.value.columns() if i == side) for side in (0, 1)]
-    features, theirs = (_extent(df, o.keys, s.feature, c) for df, o, c in ((q, oq, columns[0]), (k, ok, columns[1])))
-    width = _extent(values, p.values.keys, s.own, [p.values.factor])
+    features, theirs = (_extent(df, o.keys, row, s.feature, c) for df, o, row, c in ((q, oq, s.kept, columns[0]), (k, ok, s.summed, columns[1])))
+    width = _extent(values, p.values.keys, s.summed, s.own, [p.values.factor])
     if features is None or features != theirs or width is None:
         return None
     queries = _packed(q, [oq.keys[d] for d in s.batch], oq.keys[s.kept], oq.keys.get(s.feature), columns[0], block, features)
@@ -177,7 +177,7 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
 
     parts = pairs.mapInArrow(weigh, partial)
     while blocks > FAN_IN:
-        parts = parts.withColumn("next", F.floor(F.col("block") / FAN_IN)).groupBy(*b, "x", "next").applyInArrow(lambda t: merged(t.drop(["next"])), partial)
+        parts = parts.withColumn("next", F.expr(f"block div {FAN_IN}")).groupBy(*b, "x", "next").applyInArrow(lambda t: merged(t.drop(["next"])), partial)
         blocks = -(-blocks // FAN_IN)
     kept_type, own_type = dict(q.dtypes)[oq.keys[s.kept]], dict(values.dtypes)[p.values.keys[s.own]]
 

@@ -1,7 +1,7 @@
 """Two-operand products over dense integer keys, block by block.
 
-Operands are packed into tiles of ``block`` keys a side, rows of a DataFrame like any other: tiles that meet are joined on their
-block of the summed dimension, multiplied as matrices in Arrow batches, and partial products are summed by output block. No
+Operands are packed into tiles of at most ``block`` keys a side, rows of a DataFrame like any other: tiles that meet are joined on their
+block of the summed dimension and their strips of the output, multiplied as matrices in Arrow batches, and partial products are summed by output block. No
 join row of the plain plan ever exists, no task holds more than a few tiles, and any number of tiles spreads over the cluster.
 
 Rows keep SQL's meaning: duplicate keys count each, a group exists if any joined row reaches it, its sum is NULL if all its
@@ -21,7 +21,7 @@ from ..ir import Condition, Fold
 
 BLOCK = 512
 Backend = Callable[[np.ndarray, np.ndarray], np.ndarray]
-_TILE = "w bigint, x bigint, z bigint, value binary, state binary"
+_TILE = "w bigint, x bigint, z bigint, n bigint, m bigint, value binary, state binary"
 
 
 def roles(fold: Fold) -> tuple[list[str], list[str], list[str], list[str]] | None:
@@ -37,63 +37,80 @@ def roles(fold: Fold) -> tuple[list[str], list[str], list[str], list[str]] | Non
     return [sorted(s) for s in (w, x, y, z)]
 
 
-def worth(fold: Fold, frames: list[DataFrame], cells_per_row: int = 4, least_products: int = 1 << 20) -> bool:
-    """Whether keys are dense enough for tiles (at most 4 cells a row and 4096), integers from 0 on, and products many: one small job an operand."""
+#: Cells a row up to which tiles pay where the join would have JOINED rows or more, and multiplications that cost as much as one joined row.
+LOOSE, JOINED, PER_JOINED = 64, 1 << 22, 2048
+#: Tiles a side of a task's strip of the output.
+STRIP = 16
+
+
+def worth(fold: Fold, frames: list[DataFrame], cells_per_row: int = 4, least_products: int = 1 << 20) -> dict[str, int] | None:
+    """Extents of the dimensions if tiles pay, else None: keys are integers from 0 on, products are many, and there are at most 4 cells a row
+    and 4096, or 64 cells a row where the join would be far larger than the product. One small job an operand."""
     r = roles(fold)
     if r is None:
-        return False
+        return None
     w, (x,), (y,), (z,) = r
-    extents, rows = {}, []
+    extents, rows, loose = {}, [], False
     for o, df in zip(fold.operands, frames, strict=True):
         if any(dict(df.dtypes)[c] not in ("tinyint", "smallint", "int", "bigint") for c in o.keys.values()) or dict(df.dtypes)[o.factor] != "double":
-            return False
+            return None
         ends = df.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{d}") for d, c in o.keys.items() for n, f in (("low", F.min), ("high", F.max))), *(F.count(c).alias(f"full_{d}") for d, c in o.keys.items())).first()
         if not ends["n"] or any(ends[f"full_{d}"] < ends["n"] or ends[f"low_{d}"] < 0 for d in o.keys):
-            return False
+            return None
         own = {d: ends[f"high_{d}"] + 1 for d in o.keys}
         cells = 1
         for d in own:
             cells *= own[d]
             extents[d] = max(extents.get(d, 0), own[d])
-        if cells > cells_per_row * ends["n"] + 4096:
-            return False
+        if cells > LOOSE * ends["n"] + 4096:
+            return None
+        loose |= cells > cells_per_row * ends["n"] + 4096
         rows.append(ends["n"])
-    total = extents[x] * extents[y] * extents[z]
-    for d in w:
-        total *= extents[d]
-    return total >= least_products
+    batches = extents[w[0]] if w else 1
+    total = extents[x] * extents[y] * extents[z] * batches
+    joined = rows[0] * rows[1] // (extents[z] * batches)  # of keys that are spread evenly; fewer than of others
+    if loose and (joined < JOINED or total > PER_JOINED * joined):
+        return None
+    return extents if total >= least_products else None
 
 
 def tiles(df: DataFrame, w: str | None, x: str, z: str, value: str, block: int) -> DataFrame:
-    """A row for each tile with any row: its values (NULL as 0, duplicates summed) and states (rows, and rows with a value)."""
+    """A row for each tile with any row, n x m cells up to its last ones: values (NULL as 0, duplicates summed) and states (1: a row, 2: a value)."""
     rows = df.select((F.col(w) if w else F.lit(0)).cast("bigint").alias("w"), F.col(x).cast("bigint").alias("xk"), F.col(z).cast("bigint").alias("zk"), F.col(value).cast("double").alias("v"))
-    rows = rows.withColumn("x", F.floor(F.col("xk") / block)).withColumn("z", F.floor(F.col("zk") / block))
+    rows = rows.withColumns({"x": F.expr(f"xk div {block}"), "z": F.expr(f"zk div {block}")})
 
     def packed(key: tuple, t: pa.Table) -> pa.Table:
-        n, m = block, block
-        at = (t["xk"].to_numpy() - key[1].as_py() * block) * m + (t["zk"].to_numpy() - key[2].as_py() * block)
+        xs, zs = t["xk"].to_numpy() - key[1].as_py() * block, t["zk"].to_numpy() - key[2].as_py() * block
+        n, m = int(xs.max()) + 1, int(zs.max()) + 1
+        at = xs * m + zs
         order = np.argsort(at, kind="stable")  # sums in the order of keys
         v = t["v"].to_numpy(zero_copy_only=False)[order]
         full = ~t["v"].is_null().to_numpy(zero_copy_only=False)[order]
         at = at[order]
         values = np.bincount(at, np.where(full, v, 0.0), n * m)
-        state = np.stack([np.bincount(at, minlength=n * m), np.bincount(at[full], minlength=n * m)]).astype("<u4")
-        return pa.table({**{k: [key[i].as_py()] for i, k in enumerate("wxz")}, "value": [values.tobytes()], "state": [state.tobytes()]}, schema=schema)
+        state = np.zeros(n * m, np.uint8)
+        state[at] = 1
+        state[at[full]] = 3
+        return pa.table({**{k: [key[i].as_py()] for i, k in enumerate("wxz")}, "n": [n], "m": [m], "value": [values.tobytes()], "state": [state.tobytes()]}, schema=schema)
 
-    schema = pa.schema([*((k, pa.int64()) for k in "wxz"), ("value", pa.binary()), ("state", pa.binary())])
+    schema = pa.schema([*((k, pa.int64()) for k in "wxznm"), ("value", pa.binary()), ("state", pa.binary())])
     return rows.groupBy("w", "x", "z").applyInArrow(packed, _TILE)
 
 
 def multiply(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, matmul: Backend) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums, whether any row reached each cell, and whether any had a value. sa, sb: states (2, x, z) and (2, y, z)."""
-    reached = (sa[0] > 0).astype(np.float32) @ (sb[0] > 0).astype(np.float32).T > 0
-    valued = (sa[1] > 0).astype(np.float32) @ (sb[1] > 0).astype(np.float32).T > 0
+    """Sums, whether any row reached each cell, and whether any had a value. sa, sb: states (x, z) and (y, z)."""
+    met = lambda bit: (sa & bit > 0).astype(np.float32) @ (sb & bit > 0).astype(np.float32).T > 0
+    if (sa == 3).all() and (sb == 3).all():
+        reached = valued = np.ones((len(a), len(b)), bool)
+    else:
+        reached = met(1)
+        valued = met(2) if (sa == 1).any() or (sb == 1).any() else reached
     if np.isfinite(a).all() and np.isfinite(b).all():
         return matmul(a, b.T), reached, valued
     out = np.zeros((len(a), len(b)))
     with np.errstate(all="ignore"):
         for k in range(a.shape[1]):  # only pairs of present cells meet
-            i, j = np.flatnonzero(sa[1][:, k]), np.flatnonzero(sb[1][:, k])
+            i, j = np.flatnonzero(sa[:, k] & 2), np.flatnonzero(sb[:, k] & 2)
             if len(i) and len(j):
                 out[np.ix_(i, j)] += np.outer(a[i, k], b[j, k])
     return out, reached, valued
@@ -107,49 +124,76 @@ def _kept(conditions: tuple[Condition, ...], x: str, xs: np.ndarray, ys: np.ndar
     return keep
 
 
-def dense_fold(fold: Fold, frames: list[DataFrame], value: str = "v", block: int = BLOCK, matmul: Backend = np.matmul) -> DataFrame:
-    """The rows of lower(fold, frames); see worth() for when. matmul: arithmetic of one's own for a product of two matrices."""
+def dense_fold(fold: Fold, frames: list[DataFrame], value: str = "v", block: int = BLOCK, matmul: Backend = np.matmul, extents: dict[str, int] | None = None) -> DataFrame:
+    """The rows of lower(fold, frames); see worth() for when, and for the extents. matmul: arithmetic of one's own for a product of two matrices.
+
+    Tiles meet on their block of the summed dimension and on a pair of strips of output blocks, to which they are copied: so the
+    products spread over tasks even where the summed dimension is a single block.
+    """
     w, (x,), (y,), (z,) = roles(fold)
     names = [w[0] if w else None, x, y]
     (oa, ob), (da, db) = fold.operands, frames
+    if extents is None:
+        extents = {}
+        for o, df in zip(fold.operands, frames, strict=True):
+            for d, top in zip(o.keys, df.agg(*(F.max(c) for c in o.keys.values())).first(), strict=True):
+                extents[d] = max(extents.get(d, 0), 1 + (-1 if top is None else top))
+    blocks = {d: max(1, -(-n // block)) for d, n in extents.items()}
+    strip, tasks = STRIP, int(da.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while strip > 1 and blocks[z] * -(-blocks[x] // strip) * -(-blocks[y] // strip) < tasks:
+        strip //= 2
+
+    def strips(own: str, other: str, d: str) -> list:
+        """The strip of a tile's own block, and a copy for each strip of the other side."""
+        return [F.expr(f"{own} div {strip}").alias(f"s{own}"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((blocks[d] - 1) // strip).cast("bigint"))).alias(f"s{other}")]
+
     left = tiles(da, oa.keys[w[0]] if w else None, oa.keys[x], oa.keys[z], oa.factor, block)
     right = tiles(db, ob.keys[w[0]] if w else None, ob.keys[y], ob.keys[z], ob.factor, block)
-    left = left.toDF("w", "x", "z", "a", "sa")
-    right = right.toDF("w2", "y", "z2", "b", "sb")
-    meets = (F.col("w") == F.col("w2")) & (F.col("z") == F.col("z2"))
+    left = left.toDF("w", "x", "z", "na", "ma", "a", "sa").select("*", *strips("x", "y", y))
+    right = right.toDF("w2", "y", "z2", "nb", "mb", "b", "sb").select("*", *strips("y", "x", x)).withColumnsRenamed({"sx": "sx2", "sy": "sy2"})
+    meets = (F.col("w") == F.col("w2")) & (F.col("z") == F.col("z2")) & (F.col("sx") == F.col("sx2")) & (F.col("sy") == F.col("sy2"))
     for c in fold.conditions:  # block pairs that a condition leaves nothing
         low = lambda k: F.col("x" if k == x else "y") * block
         high = lambda k: low(k) + block - 1
         a, b = (low(c.left), high(c.right) + c.offset) if c.op[0] == "<" else (high(c.left), low(c.right) + c.offset)
         meets &= {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[c.op]
-    conditions = fold.conditions
+    conditions, single = fold.conditions, blocks[z] == 1
+
+    def rows(k: dict[str, int], total: np.ndarray, flags: np.ndarray) -> dict[str, pa.Array]:
+        i, j = np.nonzero(flags & 1)
+        return {"w": pa.array(np.full(len(i), k["w"]), pa.int64()), "x": pa.array(k["x"] * block + i, pa.int64()), "y": pa.array(k["y"] * block + j, pa.int64()), "v": pa.array(total[i, j], mask=(flags[i, j] & 2) == 0)}
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda n: batch.column(n)[i].as_py()  # noqa: E731, B023
-                a, b = (np.frombuffer(get(n)).reshape(block, block) for n in "ab")
-                sa, sb = (np.frombuffer(get(n), "<u4").reshape(2, block, block) for n in ("sa", "sb"))
+                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                k = min(r["ma"], r["mb"])  # beyond it, one of the two has nothing
+                a, b = (np.frombuffer(r[n]).reshape(r[f"n{n}"], r[f"m{n}"])[:, :k] for n in "ab")
+                sa, sb = (np.frombuffer(r[f"s{n}"], np.uint8).reshape(r[f"n{n}"], r[f"m{n}"])[:, :k] for n in "ab")
                 out, reached, valued = multiply(a, b, sa, sb, matmul)
-                keep = _kept(conditions, x, get("x") * block + np.arange(block), get("y") * block + np.arange(block))
+                keep = _kept(conditions, x, r["x"] * block + np.arange(len(a)), r["y"] * block + np.arange(len(b)))
                 flags = ((reached & keep) | ((valued & keep) << 1)).astype(np.uint8)
-                if flags.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.array([get(n)], pa.int64()) for n in "wxyz"), pa.array([out.tobytes()]), pa.array([flags.tobytes()])], names=["w", "x", "y", "z", "out", "flags"])
+                if flags.any() and single:
+                    yield pa.RecordBatch.from_pydict(rows(r, out, flags))
+                elif flags.any():
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[n]], pa.int64()) for n in "wxyz"), pa.array([len(a)], pa.int64()), *(pa.array([v.tobytes()]) for v in (out, flags))], names=["w", "x", "y", "z", "n", "out", "flags"])
 
-    pairs = left.join(right, meets).select("w", "x", "y", "z", "a", "sa", "b", "sb")
-    partial = pairs.mapInArrow(products, "w bigint, x bigint, y bigint, z bigint, out binary, flags binary")
+    pairs = left.join(right.hint("merge"), meets).select("w", "x", "y", "z", "na", "ma", "a", "sa", "nb", "mb", "b", "sb")
 
     def summed(t: pa.Table) -> pa.Table:
-        total, flags = np.zeros(block * block), np.zeros(block * block, np.uint8)
-        for i in np.argsort(t["z"].to_numpy()):  # in the order of blocks: the same bits however tasks ran
-            total += np.frombuffer(t["out"][int(i)].as_py())
-            flags |= np.frombuffer(t["flags"][int(i)].as_py(), np.uint8)
-        at = np.flatnonzero(flags & 1)
-        xs, ys = t["x"][0].as_py() * block + at // block, t["y"][0].as_py() * block + at % block
-        v = pa.array(total[at], mask=(flags[at] & 2) == 0)
-        return pa.table({"w": pa.array(np.full(len(at), t["w"][0].as_py()), pa.int64()), "x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64()), "v": v})
-
-    out = partial.groupBy("w", "x", "y").applyInArrow(summed, "w bigint, x bigint, y bigint, v double")
+        total, flags = np.zeros((block, block)), np.zeros((block, block), np.uint8)
+        for i in np.argsort(t["z"].to_numpy()).tolist():  # in the order of blocks: the same bits however tasks ran
+            n = t["n"][i].as_py()
+            some = np.frombuffer(t["out"][i].as_py()).reshape(n, -1)
+            total[:n, : some.shape[1]] += some
+            flags[:n, : some.shape[1]] |= np.frombuffer(t["flags"][i].as_py(), np.uint8).reshape(n, -1)
+        return pa.table(rows({k: t[k][0].as_py() for k in "wxy"}, total, flags))
+
+    if single:
+        out = pairs.mapInArrow(products, "w bigint, x bigint, y bigint, v double")
+    else:
+        partial = pairs.mapInArrow(products, "w bigint, x bigint, y bigint, z bigint, n bigint, out binary, flags binary")
+        out = partial.groupBy("w", "x", "y").applyInArrow(summed, "w bigint, x bigint, y bigint, v double")
     of = dict(zip(names, "wxy", strict=True))
     types = {k: dict(df.dtypes)[c] for o, df in zip(fold.operands, frames, strict=True) for k, c in o.keys.items()}
     return out.select(*(F.col(of[d]).cast(types[d]).alias(d) for d in fold.outputs), F.col("v").alias(value))

@@ -18,9 +18,9 @@ metrics = {"dense_folds": 0, "contractions": 0, "fused_pipelines": 0, "host_plan
 
 def run_fold(fold: Fold, frames: Sequence[DataFrame], value: str = "v", domain: DataFrame | None = None) -> DataFrame:
     frames = list(frames)
-    if len(frames) == 2 and worth(fold, frames):
+    if len(frames) == 2 and (extents := worth(fold, frames)):
         metrics["dense_folds"] += 1
-        out = dense_fold(fold, frames, value)
+        out = dense_fold(fold, frames, value, extents=extents)
         return from_domain(fold, out, domain, value) if fold.domain else out
     if len(frames) > 2 and fold.is_einsum and not fold.conditions:
         metrics["contractions"] += 1

@@ -119,6 +119,25 @@ def test_tiles_equal_nested_loops(spark, a, b, conditions):
     same(got(dense_fold(fold, [rows_of(spark, a, "ij"), rows_of(spark, b, "jk")], block=4), "ik"), brute(fold, [a, b]))
 
 
+@pytest.mark.parametrize("strips", [1, 2, 16])
+def test_one_block_of_the_summed_dimension_spreads_over_strips(spark, monkeypatch, strips):
+    monkeypatch.setattr("joinloom.operators.dense.STRIP", strips)
+    rows = [(i, j, float(i * 7 % 5 - j)) for i in range(23) for j in range(3) if (i + j) % 4]
+    a, b = rows_of(spark, rows, "ij"), rows_of(spark, [(j, i, v) for i, j, v in rows], "jk")
+    fold = Fold((L, R), dims("ijk"), ("i", "k"), conditions=(Condition("i", ">=", "k", -9),))
+    out = dense_fold(fold, [a, b], block=4)
+    same(got(out, "ik"), got(lower(fold, [a, b]), "ik"))
+
+
+def test_loose_keys_take_tiles_where_the_join_is_far_larger(spark, monkeypatch):
+    monkeypatch.setattr("joinloom.operators.dense.JOINED", 1 << 12)
+    df = spark.range(4000).select((F.col("id") * 37 % 200).alias("i"), (F.col("id") * 11 % 300).alias("j"), F.lit(1.0).alias("v"))
+    few = df.where("i = j")
+    fold = Fold((L, Operand({"j": "j", "k": "i"}, "v")), dims("ijk"), ("i", "k"))
+    assert worth(fold, [df, df], least_products=1 << 10) and not worth(fold, [few, few], least_products=1 << 10)
+    same(got(dense_fold(fold, [df, df], block=64), "ik"), got(lower(fold, [df, df]), "ik"))
+
+
 def test_tiles_by_batch_dimension_and_own_arithmetic(spark):
     rng = np.random.default_rng(1)
     rows = [(h, i, j, float(rng.integers(-4, 5))) for h in range(2) for i in range(6) for j in range(5)]

@@ -54,6 +54,15 @@ def test_tiles_equal_the_plain_plan(spark, weight, normalizer):
     check(attention(p, [q, k], v, block=8), lower_pipeline(p, [q, k], v))
 
 
+@pytest.mark.parametrize("apart", [10**7, 2**53 + 1])
+def test_keys_far_apart_take_the_plain_plan(spark, apart):
+    q, v = frame(spark, seed=1, n=4), frame(spark, seed=2, n=4)
+    far = lambda df: df.withColumn("t", F.col("t") * apart)
+    p = pipeline(WEIGHTS["softmax"])
+    assert attention(p, [far(q), q], v) is None and attention(p, [q, far(q)], far(v)) is None
+    check(run_pipeline(p, [far(q), far(q)], far(v)), lower_pipeline(p, [far(q), far(q)], far(v)))
+
+
 def test_masks_heads_expressions_and_fan_in(spark, monkeypatch):
     monkeypatch.setattr(importlib.import_module("joinloom.operators.attention"), "FAN_IN", 2)
     q, k, v = (frame(spark, seed=s, heads=2) for s in range(3))
