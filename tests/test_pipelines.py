@@ -196,3 +196,48 @@ def test_gaussian_smoother(spark):
     smoother = Pipeline(producer, Weight(of=S), Operand({"b": "t", "c": "c"}, "v"), ("b",), "rows")
     check(attention(smoother, [p, p], p, block=8), lower_pipeline(smoother, [p, p], p))
     assert math.isfinite(attention(smoother, [p, p], p).first()["v"])
+
+
+@pytest.mark.parametrize("conditions, copies", [((), 6 * 3), (CAUSAL, 2 + 4 + 6), (BAND, 3 + 4 + 3)])
+def test_tiles_are_copied_once_a_strip(spark, monkeypatch, conditions, copies):
+    """Not once for each pair: 24 tiles of queries in 3 strips meet 6 tiles of keys."""
+    kind, sent = type(spark.range(0)), []
+    deal = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda self, *a: sent.append(self) or deal(self, *a))
+    q, k, v = (frame(spark, n=48, seed=s) for s in range(3))
+    p = pipeline(WEIGHTS["softmax"], "groups", conditions)
+    check(attention(p, [q, k], v, block=8, strips=3), lower_pipeline(p, [q, k], v))
+    assert sent[0].count() == 24 + copies and sent[0].where("side = 0").count() == 24
+
+
+def test_strips_hold_no_more_than_their_bytes(spark, monkeypatch):
+    module = importlib.import_module("joinloom.operators.attention")
+    monkeypatch.setattr(module, "STRIP_BYTES", 8 * (3 + 2 * 3 + 4) * 6)
+    kind, dealt = type(spark.range(0)), []
+    deal = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda self, n, by: dealt.append(n) or deal(self, n, by))
+    q, k, v = (frame(spark, seed=s, heads=2) for s in range(3))
+    p = pipeline(WEIGHTS["softmax"], "groups", heads=True)
+    check(attention(p, [q, k], v, block=8, strips=1), lower_pipeline(p, [q, k], v))
+    assert dealt == [4]
+
+
+def test_values_that_floats_do_not_hold_keep_all_bits(spark):
+    q, k, v = (frame(spark, seed=s) for s in range(3))
+    short = lambda df: df.withColumn("x", F.col("x").cast("float").cast("double"))
+    p = pipeline(WEIGHTS["square"])
+    for a, b, c in ((q, short(k), v), (short(q), short(k), short(v)), (short(q), k, short(v))):
+        check(attention(p, [a, b], c, block=8, strips=2), lower_pipeline(p, [a, b], c))
+
+
+def test_plans_of_fused_pipelines_broadcast_no_pairs(spark):
+    """Tiles of one feature are so small that Spark broadcast them with a copy for each pair of blocks."""
+    p = spark.range(300).select(F.col("id").alias("t"), (F.col("id") / 300).alias("x"), F.rand(1).alias("v"), F.lit(0).alias("c"))
+    producer = Fold((Operand({"a": "t"}), Operand({"b": "t"})), (Dimension("a"), Dimension("b")), ("a", "b"), (-((col(0, "x") - col(1, "x")) ** 2) / 0.1).exp())
+    smoother = Pipeline(producer, Weight(of=S), Operand({"b": "t", "c": "c"}, "v"), ("b",), "rows")
+    out = attention(smoother, [p, p], p, block=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Join" in line for line in plan[: next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)])
+    explode = [i for i, line in enumerate(plan) if "Generate explode" in line]
+    assert len(explode) == 1 and any("Join" in line for line in plan[explode[0] :])
+    assert out.count() == 300
