@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import Expression, lit
 from ..ir import Condition, Fold, Pipeline, Weight
 from .dense import _kept
 
@@ -27,6 +28,8 @@ BLOCK, FAN_IN = 512, 32
 PER_CORE, LEAST, STRIP_BYTES = 3, 64, 64 << 20
 #: Largest absolute value of inputs for which scores and weighted sums stay finite in any order.
 LARGEST = 1e120
+#: Sum of squares up to which squared distances of exponential weights are expanded.
+EXPANDED = 500.0
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -96,15 +99,38 @@ def _packed(df: DataFrame, batch: list[str], row: str, inner: str | None, values
     return rows.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} bigint" for k in keys) + ", ids binary, tile binary")
 
 
-def _scores(fold: Fold, q: np.ndarray, k: np.ndarray, columns: list[list[str]]) -> np.ndarray:
+def _squared(value: Expression | None) -> bool:
+    """Whether the value is the square of the difference of one column of either side."""
+    if value is None or value.op != "power" or value.args[1] != lit(2) or value.args[0].op != "-":
+        return False
+    return sorted(x.args[0] for x in value.args[0].args if x.op == "col") == [0, 1]
+
+
+def _scores(fold: Fold, q: np.ndarray, k: np.ndarray, columns: list[list[str]], most: float = 0.0) -> np.ndarray:
+    """Scores of all pairs. most: largest sum of squares of a query and a key for which a sum of squared differences may come from a product of
+    matrices, with errors of about 1e-15 times it."""
     if fold.value is None:
         return q[0] @ k[0].T
+    if most and _squared(fold.value):
+        a, b = (np.einsum("ij,ij->i", x[0], x[0]) for x in (q, k))
+        if a.max(initial=0.0) + b.max(initial=0.0) <= most:
+            out = q[0] @ (-2 * k[0].T)
+            out += a[:, None]
+            out += b
+            return np.maximum(out, 0.0, out=out)
     out = np.zeros((q.shape[1], k.shape[1]))
     for d in range(q.shape[2]):
-        out = out + fold.value.evaluate(lambda i, n: q[columns[0].index(n), :, d][:, None] if i == 0 else k[columns[1].index(n), :, d][None, :])  # noqa: B023
+        out += fold.value.evaluate(lambda i, n: q[columns[0].index(n), :, d][:, None] if i == 0 else k[columns[1].index(n), :, d][None, :])  # noqa: B023
     return out
 
 
+def _most(w: Weight) -> float:
+    """For _scores: weights that are exponentials keep 12 digits or more up to it; others may be as steep as they like where scores are near 0."""
+    by = w.scale.by
+    factor = 1.0 if by is None else abs(by) if not w.scale.divides else 1 / abs(by) if by else float("inf")
+    return 0.0 if w.of is not None or not factor < float("inf") else EXPANDED / max(1.0, factor)
+
+
 def _mask(conditions: Sequence[Condition], x: str, xs: np.ndarray, ys: np.ndarray) -> np.ndarray | bool:
     """Pairs that are kept; True or False where the least and largest keys tell that all or none are."""
     ends = [_kept((c,), x, np.array([xs.min(), xs.max()]), np.array([ys.min(), ys.max()])) for c in conditions]
@@ -143,6 +169,7 @@ class Strip:
 
     def __init__(self, p: Pipeline, kept: str, columns: list[list[str]], block: int):
         self.p, self.kept, self.columns, self.block = p, kept, columns, block
+        self.most = _most(p.weight)
         self.tiles: list[tuple[np.ndarray, np.ndarray]] = []
         self.chunks: list[list] = []
         self.waiting: list[tuple[np.ndarray, ...]] = []
@@ -177,7 +204,7 @@ class Strip:
             keep = _mask(f.conditions, self.kept, chunk[0], ids)
             if keep is False:
                 continue
-            w, shift = _weights(self.p.weight, _scores(f, chunk[1], k, self.columns), keep)
+            w, shift = _weights(self.p.weight, _scores(f, chunk[1], k, self.columns, self.most), keep)
             with np.errstate(all="ignore"):
                 part = shift, np.full(len(w), len(ids)) if keep is True else keep.sum(axis=1), w.sum(axis=1), w @ v
             chunk[2] = part if chunk[2] is None else merge([chunk[2], part])

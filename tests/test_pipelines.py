@@ -241,3 +241,22 @@ def test_plans_of_fused_pipelines_broadcast_no_pairs(spark):
     explode = [i for i, line in enumerate(plan) if "Generate explode" in line]
     assert len(explode) == 1 and any("Join" in line for line in plan[explode[0] :])
     assert out.count() == 300
+
+
+@pytest.mark.parametrize("far, product", [(0, True), (1e6, False)])
+def test_squared_differences_are_a_product_where_it_keeps_their_digits(far, product):
+    module = importlib.import_module("joinloom.operators.attention")
+    rng = np.random.default_rng(3)
+    q, k = (rng.normal(size=(1, n, 5)) + far for n in (7, 9))
+    k[0, 0] = q[0, 0]
+    want = ((q[0][:, None, :] - k[0][None, :, :]) ** 2).sum(axis=2)
+    for value in ((col(0, "x") - col(1, "x")) ** 2, (col(1, "x") - col(0, "x")) ** 2):
+        p = pipeline(Weight(scale=Scale(-1.0), shifted=False), value=value)
+        asked = []
+        one = type(value).evaluate
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(type(value), "evaluate", lambda self, of: asked.append(1) or one(self, of))
+            got = module._scores(p.producer, q, k, [["x"], ["x"]], module._most(p.weight))
+        assert np.abs(got - want).max() < 1e-12 and (got >= 0).all() and bool(asked) != product
+    # A weight that isn't an exponential may be steep at 0.
+    assert module._most(Weight(of=S)) == 0 and module._most(Weight(scale=Scale(0.0, True))) == 0
