@@ -1,5 +1,6 @@
 """Folds: construction, joins against nested loops, tiles and contractions against the plain plan."""
 
+import importlib
 import itertools
 import math
 
@@ -195,6 +196,21 @@ def test_guard_keeps_the_plain_plan(spark, bad):
     assert math.isnan(v) if math.isnan(bad) else v == bad * bad * 2.0
 
 
+def test_operands_that_repeat_keys_are_summed_before_joins(spark, monkeypatch):
+    """Two operands of 400 rows under 2 keys, NULLs among both: one row for each key is joined, not 200 times 200."""
+    module = importlib.import_module("joinloom.plans.contract")
+    one, seen = module.lower, []
+    monkeypatch.setattr(module, "lower", lambda fold, frames, *a: seen.append([df.count() for df in frames]) or one(fold, frames, *a))
+    a = [(n % 2, None if n % 2 or n % 3 == 0 else float(n)) for n in range(400)]
+    b = [(n % 2, float(n % 7)) for n in range(400)]
+    c = [(0, 5, 2.0), (1, 5, 3.0), (1, 6, 4.0), (2, 7, 1.0)]
+    frames = [rows_of(spark, a, "n"), rows_of(spark, b, "n"), rows_of(spark, c, "nr")]
+    out = got(einsum("n,n,nr->r", (frames[0], ["n"], "v"), (frames[1], ["n"], "v"), (frames[2], ["n", "r"], "v")), "r")
+    total = lambda t: sum(v for n, v in t if n == 0 and v is not None)
+    assert out == {(5,): total(a) * total(b) * 2.0, (6,): None}
+    assert max(map(max, seen)) <= 4
+
+
 def test_einsum(spark):
     rng = np.random.default_rng(3)
     a, b, c = rng.integers(-3, 4, (4, 5)), rng.integers(-3, 4, (5, 6)), rng.integers(-3, 4, (6, 3))
