@@ -3,6 +3,7 @@
 import importlib
 import itertools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from joinloom.functions import col
 from joinloom.ir import Condition, Dimension, Domain, Fold, Operand, Pipeline, Weight, describe
-from joinloom.operators.dense import dense_fold, roles, worth
+from joinloom.operators.dense import dense_fold, roles, tiles, unpacked, worth
 from joinloom.operators.folds import run_fold
 from joinloom.plans.contract import contract, einsum, join_back, measures, order_of
 from joinloom.plans.lower import lower
@@ -155,6 +156,33 @@ def test_tiles_by_batch_dimension_and_own_arithmetic(spark):
     assert calls.value > 0
 
 
+def test_tiles_hold_the_rows_of_their_batch_alone(spark):
+    """Keys of which each batch has every fifth: tiles five times as wide, without the rows of other batches, and no larger than full ones."""
+    rows = [(i % 5, i, j, float(i * 3 % 7 - j)) for i in range(60) for j in range(3) if (i, j) != (7, 1)]
+    df = rows_of(spark, rows, "hij")
+    sent = {r.w: [] for r in df.selectExpr("h AS w").distinct().collect()}
+    for r in tiles(df, "h", "i", "j", "v", 4, 20).collect():
+        ids, v, state = unpacked(r.ids, r.m, r.value, r.state)
+        assert v.shape == state.shape == (len(ids), 3) and len(r.value) == 4 * v.size and len(r.state) == (0 if (state == 3).all() else v.size)
+        sent[r.w].append(ids.tolist())
+    assert {w: sorted(sum(x, [])) for w, x in sent.items()} == {w: list(range(w, 60, 5)) for w in range(5)} and all(len(x) == 3 for x in sent.values())
+    fold = Fold((Operand({"h": "h", "a": "i", "z": "j"}, "v"), Operand({"h": "h", "b": "i", "z": "j"}, "v")), dims(["h", "a", "b", "z"]), ("h", "a", "b"), conditions=(Condition("a", ">=", "b", 7),))
+    for block in (2, 4):  # several blocks of the summed dimension, and one
+        same(got(dense_fold(fold, [df, df], block=block), "hab"), got(lower(fold, [df, df]), "hab"))
+
+
+def test_strips_widen_with_the_input(spark, monkeypatch):
+    """Tiles are copied to about as many strips as tasks need, however many blocks there are."""
+    df = spark.range(600).select((F.col("id") % 200).alias("i"), F.expr("id div 200").alias("j"), (F.col("id") % 11).cast("double").alias("v"))
+    fold = Fold((L, Operand({"j": "j", "k": "i"}, "v")), dims("ijk"), ("i", "k"))
+    monkeypatch.setattr("joinloom.operators.dense.STRIP", 1)
+    monkeypatch.setattr("joinloom.operators.dense.STRIP_BYTES", 10**6)
+    one, last = F.sequence, []
+    monkeypatch.setattr(F, "sequence", lambda low, high: last.append(int(re.search(r"\d+", str(high))[0])) or one(low, high))
+    same(got(dense_fold(fold, [df, df], block=4), "ik"), got(lower(fold, [df, df]), "ik"))
+    assert last == [3, 3]  # of 50 blocks
+
+
 def test_when_tiles_are_worth_it(spark):
     full = rows_of(spark, [(i, j, 1.0) for i in range(64) for j in range(64)], "ij")
     right = full.toDF("j", "k", "v")
