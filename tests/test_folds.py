@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from joinloom.functions import col
 from joinloom.ir import Condition, Dimension, Domain, Fold, Operand, Pipeline, Weight, describe
 from joinloom.operators.dense import dense_fold, roles, tiles, unpacked, worth
+from joinloom.operators.folds import metrics as folds_metrics
 from joinloom.operators.folds import run_fold
+from joinloom.operators.ranged import range_width, ranged_fold
 from joinloom.plans.contract import contract, einsum, join_back, measures, order_of
 from joinloom.plans.lower import lower
 
@@ -183,6 +185,36 @@ def test_strips_widen_with_the_input(spark, monkeypatch):
     assert last == [3, 3]  # of 50 blocks
 
 
+@FEW
+@given(TABLE, TABLE)
+def test_ranges_equal_nested_loops(spark, a, b):
+    """Duplicates, NULL and non-finite factors, NULL keys of the summed dimension, absent cells, several ranges."""
+    a, b = [t for t in a if t[0] is not None], [t for t in b if t[1] is not None]
+    fold = Fold((L, R), dims("ijk"), ("i", "k"))
+    same(got(ranged_fold(fold, [rows_of(spark, a, "ij"), rows_of(spark, b, "jk")], 2), "ik"), brute(fold, [a, b]))
+
+
+def test_sparse_keys_that_meet_often_are_multiplied_by_range(spark, monkeypatch):
+    """Blocks of 20 i and 100 j each, far from dense as a whole, of which 40,000 joined rows fall on 4,000 groups."""
+    module = importlib.import_module("joinloom.operators.ranged")
+    monkeypatch.setattr(module, "JOINED", 1 << 12)
+    monkeypatch.setattr(module, "ROWS", 500)
+    block = F.expr("id div 500")
+    df = spark.range(5000).select((F.hash("id") % 10 + 10 + 20 * block * 50).alias("i").cast("bigint"), (F.col("id") % 50 + 100 * block).alias("j"), F.lit(1.5).alias("v"))
+    fold = Fold((L, Operand({"j": "j", "k": "i"}, "v")), dims("ijk"), ("k", "i"))
+    before = dict(folds_metrics)
+    out = run_fold(fold, [df, df])
+    assert folds_metrics["ranged_folds"] == before["ranged_folds"] + 1 and folds_metrics["host_plans"] == before["host_plans"]
+    same(got(out, "ki"), got(lower(fold, [df, df]), "ki"))
+    # As many groups as joined rows, a range too large, too many groups in one, and NULL keys run as before.
+    apart = df.withColumn("i", F.monotonically_increasing_id())
+    assert range_width(fold, [apart, apart]) is None and range_width(fold, [df.withColumn("i", F.nullif("i", F.col("i"))), df]) is None
+    for name in ("MOST_ROWS", "MOST_CELLS"):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, 10)
+            assert range_width(fold, [df, df]) is None
+
+
 def test_when_tiles_are_worth_it(spark):
     full = rows_of(spark, [(i, j, 1.0) for i in range(64) for j in range(64)], "ij")
     right = full.toDF("j", "k", "v")
