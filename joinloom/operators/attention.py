@@ -4,7 +4,8 @@ The plain plan makes a row for each pair of keys and feature, then one for each
 tiles. Queries are dealt into strips, a few for each core; a task holds one strip of queries with its running results (for shifted weights
 maximum, sum and weighted sum, as in an online softmax), and the tiles of keys and values pass by it in order, a chunk at a time. So tiles are
 copied once for each strip, not for each pair, no partial result is ever sent, and what is sent grows with the input as long as strips fit
-``STRIP_BYTES``. Strips that a condition leaves nothing get no copy.
+``STRIP_BYTES``. Strips that a condition leaves nothing get no copy. A relation that is queries, keys or values at once is packed once, and
+keys that are their own values travel once.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PER_CORE, LEAST, STRIP_BYTES = 3, 64, 64 << 20
 LARGEST = 1e120
 #: Sum of squares up to which squared distances of exponential weights are expanded.
 EXPANDED = 500.0
+#: Largest absolute score up to which exponentials are summed without a shift: no sum overflows, and none of them underflows.
+UNSHIFTED = 300.0
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -99,6 +102,12 @@ def _packed(df: DataFrame, batch: list[str], row: str, inner: str | None, values
     return rows.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} bigint" for k in keys) + ", ids binary, tile binary")
 
 
+def _alike(batch: list[str], a: DataFrame, at: tuple, b: DataFrame, to: tuple) -> bool:
+    """Whether two sides are the same cells of one relation, so that their tiles are the same."""
+    (x, row, inner, c), (y, other, within, d) = at, to
+    return [x[n] for n in batch] == [y[n] for n in batch] and (x[row], x.get(inner), c) == (y[other], y.get(within), d) and (a is b or a.sameSemantics(b))
+
+
 def _squared(value: Expression | None) -> bool:
     """Whether the value is the square of the difference of one column of either side."""
     if value is None or value.op != "power" or value.args[1] != lit(2) or value.args[0].op != "-":
@@ -106,15 +115,16 @@ def _squared(value: Expression | None) -> bool:
     return sorted(x.args[0] for x in value.args[0].args if x.op == "col") == [0, 1]
 
 
-def _scores(fold: Fold, q: np.ndarray, k: np.ndarray, columns: list[list[str]], most: float = 0.0) -> np.ndarray:
+def _scores(fold: Fold, q: np.ndarray, k: np.ndarray, columns: list[list[str]], most: float = 0.0, room: np.ndarray | None = None) -> np.ndarray:
     """Scores of all pairs. most: largest sum of squares of a query and a key for which a sum of squared differences may come from a product of
-    matrices, with errors of about 1e-15 times it."""
+    matrices, with errors of about 1e-15 times it. room: cells that products may take, as fresh ones cost more than what fills them."""
+    out = None if room is None else room[: q.shape[1] * k.shape[1]].reshape(q.shape[1], k.shape[1])
     if fold.value is None:
-        return q[0] @ k[0].T
+        return np.matmul(q[0], k[0].T, out=out)
     if most and _squared(fold.value):
         a, b = (np.einsum("ij,ij->i", x[0], x[0]) for x in (q, k))
         if a.max(initial=0.0) + b.max(initial=0.0) <= most:
-            out = q[0] @ (-2 * k[0].T)
+            out = np.matmul(q[0], -2 * k[0].T, out=out)
             out += a[:, None]
             out += b
             return np.maximum(out, 0.0, out=out)
@@ -124,31 +134,41 @@ def _scores(fold: Fold, q: np.ndarray, k: np.ndarray, columns: list[list[str]],
     return out
 
 
+def _factor(w: Weight) -> float:
+    """What scales a score's absolute value."""
+    by = w.scale.by
+    return 1.0 if by is None else abs(by) if not w.scale.divides else 1 / abs(by) if by else float("inf")
+
+
 def _most(w: Weight) -> float:
     """For _scores: weights that are exponentials keep 12 digits or more up to it; others may be as steep as they like where scores are near 0."""
-    by = w.scale.by
-    factor = 1.0 if by is None else abs(by) if not w.scale.divides else 1 / abs(by) if by else float("inf")
+    factor = _factor(w)
     return 0.0 if w.of is not None or not factor < float("inf") else EXPANDED / max(1.0, factor)
 
 
+def _longest(x: np.ndarray) -> float:
+    """The largest length of a row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0)))
+
+
 def _mask(conditions: Sequence[Condition], x: str, xs: np.ndarray, ys: np.ndarray) -> np.ndarray | bool:
     """Pairs that are kept; True or False where the least and largest keys tell that all or none are."""
     ends = [_kept((c,), x, np.array([xs.min(), xs.max()]), np.array([ys.min(), ys.max()])) for c in conditions]
     return True if all(e.all() for e in ends) else _kept(tuple(conditions), x, xs, ys) if all(e.any() for e in ends) else False
 
 
-def _weights(w: Weight, s: np.ndarray, keep: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
-    """Weights, 0 where not kept, and each row's shift. Scores are overwritten."""
+def _weights(w: Weight, s: np.ndarray, keep: np.ndarray | bool, shifted: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Weights, 0 where not kept, and each row's shift (None: all are 0). Scores are overwritten."""
     with np.errstate(all="ignore"):
         if w.of is not None:
             x = np.broadcast_to(w.of.evaluate(lambda i, n: s), s.shape)
-            return x if keep is True else np.where(keep, x, 0.0), np.zeros(len(s))
+            return x if keep is True else np.where(keep, x, 0.0), None
         if w.scale.by is not None:
             s = np.divide(s, w.scale.by, out=s) if w.scale.divides else np.multiply(s, w.scale.by, out=s)
         if keep is not True:
             s[~keep] = -np.inf
-        if not w.shifted:
-            return np.exp(s, out=s), np.zeros(len(s))
+        if not shifted:
+            return np.exp(s, out=s), None
         shift = s.max(axis=1, initial=-np.inf)
         s -= np.where(np.isfinite(shift), shift, 0.0)[:, None]
         return np.exp(s, out=s), shift
@@ -164,12 +184,21 @@ def merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return shift, n, z, a
 
 
+def _with_shift(part: list) -> tuple[np.ndarray, ...]:
+    shift, n, *sums = part
+    return np.where(n > 0, 0.0, -np.inf) if shift is None else shift, n, *sums
+
+
 class Strip:
     """A strip of queries with its running results; keys and values pass by."""
 
     def __init__(self, p: Pipeline, kept: str, columns: list[list[str]], block: int):
         self.p, self.kept, self.columns, self.block = p, kept, columns, block
-        self.most = _most(p.weight)
+        self.most, self.factor = _most(p.weight), _factor(p.weight)
+        self.shifted = p.weight.of is None and p.weight.shifted
+        # A quotient of sums is the same for any shift.
+        self.any_shift = self.shifted and p.normalizer is not None and p.producer.value is None
+        self.room = np.empty(0)
         self.tiles: list[tuple[np.ndarray, np.ndarray]] = []
         self.chunks: list[list] = []
         self.waiting: list[tuple[np.ndarray, ...]] = []
@@ -195,25 +224,37 @@ class Strip:
 
     def _pass(self) -> None:
         if not self.chunks:
-            self.chunks = [[np.concatenate([t[0] for t in some]), np.concatenate([t[1] for t in some], axis=1).astype(float), None] for some in self._gathered(self.tiles)]
+            for some in self._gathered(self.tiles):
+                q = np.concatenate([t[1] for t in some], axis=1).astype(float)
+                self.chunks.append([np.concatenate([t[0] for t in some]), q, None, _longest(q[0]) if self.any_shift else None])
             self.tiles = []
         f, (ids, k, v) = self.p.producer, zip(*self.waiting, strict=True)
         ids, k, v = np.concatenate(ids), np.concatenate(k, axis=1).astype(float), np.concatenate(v).astype(float)
         self.waiting = []
+        longest = self.factor * _longest(k[0]) if self.any_shift else None
+        if (cells := max((len(chunk[0]) for chunk in self.chunks), default=0) * len(ids)) > len(self.room):
+            self.room = np.empty(cells)
         for chunk in self.chunks:
             keep = _mask(f.conditions, self.kept, chunk[0], ids)
             if keep is False:
                 continue
-            w, shift = _weights(self.p.weight, _scores(f, chunk[1], k, self.columns, self.most), keep)
+            shifted = self.shifted and not (self.any_shift and chunk[3] * longest <= UNSHIFTED)
+            w, shift = _weights(self.p.weight, _scores(f, chunk[1], k, self.columns, self.most, self.room), keep, shifted)
             with np.errstate(all="ignore"):
-                part = shift, np.full(len(w), len(ids)) if keep is True else keep.sum(axis=1), w.sum(axis=1), w @ v
-            chunk[2] = part if chunk[2] is None else merge([chunk[2], part])
+                part = [shift, np.full(len(w), len(ids)) if keep is True else keep.sum(axis=1), w.sum(axis=1), w @ v]
+                if chunk[2] is None:
+                    chunk[2] = part
+                elif shift is None and chunk[2][0] is None:
+                    for done, more in zip(chunk[2][1:], part[1:], strict=True):
+                        done += more
+                else:
+                    chunk[2] = list(merge([_with_shift(chunk[2]), _with_shift(part)]))
 
     def results(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids that any pair reached, and a row of results for each."""
         if self.waiting:
             self._pass()
-        for ids, _, done in self.chunks:
+        for ids, _, done, _ in self.chunks:
             if done is not None:
                 _, n, z, a = done
                 at = np.flatnonzero(n > 0)
@@ -224,7 +265,7 @@ class Strip:
 def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value: str = "v", block: int = BLOCK, strips: int | None = None) -> DataFrame | None:
     """The rows of lower_pipeline(), or None where inputs aren't complete, finite and moderate integers-keyed arrays: one small job each tells.
 
-    strips: their number at least, where there are as many tiles of queries; else a few for each core.
+    strips: their number at most where they fit STRIP_BYTES; else a few for each core.
     """
     s = shape_of(p)
     if s is None:
@@ -232,8 +273,11 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
     f = p.producer
     (oq, ok), (q, k) = f.operands, frames
     columns = [[oq.factor], [ok.factor]] if f.value is None else [sorted(n for i, n in f.value.columns() if i == side) for side in (0, 1)]
-    of_queries, of_keys = (_extent(df, o.keys, row, s.feature, c) for df, o, row, c in ((q, oq, s.kept, columns[0]), (k, ok, s.summed, columns[1])))
-    of_values = _extent(values, p.values.keys, s.summed, s.own, [p.values.factor])
+    cells = [(o.keys, row, inner, c) for o, row, inner, c in ((oq, s.kept, s.feature, columns[0]), (ok, s.summed, s.feature, columns[1]), (p.values, s.summed, s.own, [p.values.factor]))]
+    twins = _alike(s.batch, q, cells[0], k, cells[1]), _alike(s.batch, k, cells[1], values, cells[2])
+    of_queries = _extent(q, *cells[0])
+    of_keys = of_queries if twins[0] else _extent(k, *cells[1])
+    of_values = of_keys if twins[1] else _extent(values, *cells[2])
     if of_queries is None or of_keys is None or of_values is None or of_queries.inner != of_keys.inner:
         return None
     features, width = of_queries.inner, of_values.inner
@@ -241,16 +285,23 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
     count, rows = strips or PER_CORE * max(8, q.sparkSession.sparkContext.defaultParallelism), of_queries.last + 1
     own = min(max(1, block // 4), max(LEAST, -(-rows // count)))
     most = max(1, STRIP_BYTES // (8 * (features * len(columns[0]) + 2 * width + 4)) // own)
-    each = min(most, max(1, -(-rows // own) // count))  # tiles of a strip
+    each = min(most, max(1, -(-rows // own // count)))  # tiles of a strip
     count = -(-rows // (own * each))
-    queries = _packed(q, [oq.keys[d] for d in s.batch], oq.keys[s.kept], oq.keys.get(s.feature), columns[0], own, features, tq)
-    keys = _packed(k, [ok.keys[d] for d in s.batch], ok.keys[s.summed], ok.keys.get(s.feature), columns[1], block, features, tk)
-    vals = _packed(values, [p.values.keys[d] for d in s.batch], p.values.keys[s.summed], p.values.keys[s.own], [p.values.factor], block, width, tv)
+    wide = own if twins[0] else block
+
+    def tiles_of(df: DataFrame, at: tuple, rows: int, size: int, dtype: str) -> DataFrame:
+        """Made once and kept: what follows reads them several times."""
+        by, row, inner, c = at
+        return _packed(df, [by[d] for d in s.batch], by[row], by.get(inner), c, rows, size, dtype).persist(StorageLevel.MEMORY_AND_DISK)
+
+    queries = tiles_of(q, cells[0], own, features, tq)
+    keys = queries if twins[0] else tiles_of(k, cells[1], wide, features, tk)
+    vals = keys if twins[1] else tiles_of(values, cells[2], wide, width, tv)
     b = [f"b{i}" for i in range(len(s.batch))]
-    # Tiles are made once and kept: what follows reads them several times.
-    queries, keys, vals = (tiles.persist(StorageLevel.MEMORY_AND_DISK) for tiles in (queries, keys, vals))
-    apart = keys.select(*b, "block", F.col("ids").alias("ki")).join(vals.select(*b, "block", F.col("ids").alias("vi")), [*b, "block"], "full").where("NOT (ki <=> vi) OR ki = X''")
-    if not apart.isEmpty() or not queries.where("ids = X''").isEmpty():
+    wrong = [tiles.where("ids = X''") for tiles in ([queries] if twins[0] and twins[1] else [queries, keys] if twins[1] else [queries])]
+    if not twins[1]:
+        wrong.append(keys.select(*b, "block", F.col("ids").alias("ki")).join(vals.select(*b, "block", F.col("ids").alias("vi")), [*b, "block"], "full").where("NOT (ki <=> vi) OR ki = X''"))
+    if any(not found.isEmpty() for found in wrong):
         for tiles in (queries, keys, vals):
             tiles.unpersist()
         return None
@@ -259,14 +310,15 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
         """Whether conditions keep any pair of the strip and the tile of keys."""
         found = F.lit(True)
         for c in f.conditions:
-            low = lambda d: strip * (own * each) if d == s.kept else F.col("block") * block
-            high = lambda d: low(d) + ((own * each if d == s.kept else block) - 1)
+            low = lambda d: strip * (own * each) if d == s.kept else F.col("block") * wide
+            high = lambda d: low(d) + ((own * each if d == s.kept else wide) - 1)
             left, right = (low(c.left), high(c.right) + c.offset) if c.op[0] == "<" else (high(c.left), low(c.right) + c.offset)
             found &= {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[c.op]
         return found
 
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
-    tiles = keys.withColumnRenamed("tile", "k").join(vals.select(*b, "block", F.col("tile").alias("v")), [*b, "block"])
+    tiles = keys.withColumnRenamed("tile", "k")
+    tiles = tiles.withColumn("v", F.lit(b"")) if twins[1] else tiles.join(vals.select(*b, "block", F.col("tile").alias("v")), [*b, "block"])
     tiles = tiles.select(F.explode(F.filter(every, meets)).alias("strip"), *b, F.lit(1).alias("side"), "block", "ids", "k", "v")
     queries = queries.select(F.expr(f"block div {each}").alias("strip"), *b, F.lit(0).alias("side"), "block", "ids", F.col("tile").alias("k"), F.lit(b"").alias("v"))
     met = queries.union(tiles).repartitionById(count, F.col("strip").cast("int")).sortWithinPartitions("strip", *b, "side", "block")
@@ -290,7 +342,8 @@ def attention(p: Pipeline, frames: Sequence[DataFrame], values: DataFrame, value
                 ids, x, v = (batch.column(n)[i].as_buffer() for n in ("ids", "k", "v"))
                 ids = np.frombuffer(ids, "<i8")
                 if side:
-                    strip.keys(ids, np.frombuffer(x, tk).reshape(len(columns[1]), len(ids), features), np.frombuffer(v, tv).reshape(len(ids), width))
+                    x = np.frombuffer(x, tk).reshape(len(columns[1]), len(ids), features)
+                    strip.keys(ids, x, x[0] if twins[1] else np.frombuffer(v, tv).reshape(len(ids), width))
                 else:
                     strip.queries(ids, np.frombuffer(x, tq).reshape(len(columns[0]), len(ids), features))
         if strip:

@@ -260,3 +260,64 @@ def test_squared_differences_are_a_product_where_it_keeps_their_digits(far, prod
         assert np.abs(got - want).max() < 1e-12 and (got >= 0).all() and bool(asked) != product
     # A weight that isn't an exponential may be steep at 0.
     assert module._most(Weight(of=S)) == 0 and module._most(Weight(scale=Scale(0.0, True))) == 0
+
+
+@pytest.mark.parametrize("conditions, heads", [((), False), (BAND, True)])
+def test_one_relation_on_all_sides_is_packed_and_sent_once(spark, monkeypatch, conditions, heads):
+    """Queries, keys and values of one table were three sets of tiles, and keys travelled with a copy of themselves as values."""
+    kind, sent, packed = type(spark.range(0)), [], []
+    deal = kind.repartitionById
+    module = importlib.import_module("joinloom.operators.attention")
+    pack = module._packed
+    monkeypatch.setattr(kind, "repartitionById", lambda self, *a: sent.append(self) or deal(self, *a))
+    monkeypatch.setattr(module, "_packed", lambda *a: packed.append(a) or pack(*a))
+    e = frame(spark, heads=2 if heads else 1)
+    p = pipeline(WEIGHTS["softmax"], "groups", conditions, heads=heads)
+    check(attention(p, [e, e], e, block=8, strips=3), lower_pipeline(p, [e, e], e))
+    assert len(packed) == 1 and sent[0].where("side = 1").count() and sent[0].where("v <> X''").isEmpty()
+    # The same table read otherwise isn't the same relation.
+    other = e.withColumn("x", F.col("x") + 1)
+    for q, k, v, n in ((e, other, other, 2), (e, e, other, 2), (other, e, other, 3)):
+        packed.clear()
+        check(attention(p, [q, k], v, block=8, strips=3), lower_pipeline(p, [q, k], v))
+        assert len(packed) == n
+
+
+def test_strips_are_no_more_than_asked_for(spark, monkeypatch):
+    """One strip more than cores take in whole rounds costs a round, and a copy of all keys."""
+    kind, dealt = type(spark.range(0)), []
+    deal = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda self, n, by: dealt.append(n) or deal(self, n, by))
+    q, k, v = (frame(spark, n=48, seed=s) for s in range(3))
+    p = pipeline(WEIGHTS["softmax"])
+    check(attention(p, [q, k], v, block=8, strips=5), lower_pipeline(p, [q, k], v))
+    assert dealt == [5]
+
+
+@pytest.mark.parametrize("normalizer", ["groups", None])
+@pytest.mark.parametrize("conditions", [(), CAUSAL])
+@pytest.mark.parametrize("order", [1, -1])
+def test_scores_small_and_large_sum_to_the_same_quotients(monkeypatch, normalizer, conditions, order):
+    """Blocks of small scores are summed without a shift; others, far below or above, with one."""
+    module = importlib.import_module("joinloom.operators.attention")
+    rng = np.random.default_rng(5)
+    ids = np.arange(24)
+    q, v = rng.normal(size=(24, 3)) * np.repeat([1.0, 30.0, 0.0], 8)[:, None], rng.normal(size=(24, 3))
+    k = rng.normal(size=(24, 3)) * np.repeat([2.0, 900.0, 1.0], 8)[::order, None]
+    p = pipeline(Weight(scale=Scale(2.0, True)), normalizer, conditions)
+    used, weights = [], module._weights
+    monkeypatch.setattr(module, "_weights", lambda w, s, keep, shifted: used.append(shifted) or weights(w, s, keep, shifted))
+    strip = module.Strip(p, "a", [["x"], ["x"]], 8)
+    for i in range(0, 24, 2):
+        strip.queries(ids[i : i + 2], q[None, i : i + 2])
+    for i in range(0, 24, 4):
+        strip.keys(ids[i : i + 4], k[None, i : i + 4], v[i : i + 4])
+    got = {}
+    for at, rows in strip.results():
+        got.update(zip(at.tolist(), rows, strict=True))
+    s = q @ k.T / 2
+    s[~(ids[:, None] >= ids[None, :]) if conditions else np.zeros((24, 24), bool)] = -np.inf
+    w = np.exp(s - s.max(axis=1)[:, None])
+    want = w @ v / (w.sum(axis=1)[:, None] if normalizer else 1)
+    assert sorted(got) == list(range(24)) and set(used) == ({True, False} if normalizer else {True})
+    assert np.abs(np.array([got[i] for i in range(24)]) - want).max() < 1e-10
